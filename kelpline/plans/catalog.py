@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import general
+from kelpline.plans import general, trust
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(general.QUERIES)
+    return general.QUERIES | trust.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(general.ORACLES)
+    return general.ORACLES | trust.ORACLES
