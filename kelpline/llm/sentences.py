@@ -16,8 +16,8 @@ brackets, is a candidate boundary.  Two maximum-entropy classifiers judge it:
 The sum of both log odds decides.  No list of abbreviations is used: a token that
 never ends a block has a low P(boundary).
 
-Both are fitted at call time on a bounded sample of documents (SAMPLE rows, those
-with the least hash of doc_id, whatever the size of the table); all rows are cut.
+Both are fitted at call time on a bounded sample of documents (about SAMPLE rows, those
+with the least hashes, whatever the size of the table); all rows are cut.
 """
 
 from __future__ import annotations
@@ -51,17 +51,18 @@ CLOSERS = "”»›」』）)]}》〉】’\"'"
 #: Marks after which scripts without word spaces need no space.
 WIDE = "。！？｡"
 TERMINAL = ".!?…‼⁇⁈⁉。！？｡।॥؟۔።፧"
-_MARK = regex.compile(
-    r"(?P<end>[.!?…‼⁇⁈⁉。！？｡।॥؟۔።፧]+)|(?P<quote>[“”«»‹›「」『』（）()\[\]{}《》〈〉【】‘’„‚\"'])|(?P<thai>(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎]))"
+#: Ends before white space or a closer (wide ones anywhere), quotes and brackets, and white space between Thai letters.
+_MARK = re.compile(
+    r"(?P<end>[.!?…‼⁇⁈⁉。！？｡।॥؟۔።፧]+(?=[\s”»›」』）)\]}》〉】’\"'*_]|\Z)|[.!?…‼⁇⁈⁉।॥؟۔።፧]*[。！？｡][.!?…‼⁇⁈⁉。！？｡।॥؟۔።፧]*)|(?P<quote>[“”«»‹›「」『』（）()\[\]{}《》〈〉【】‘’„‚\"'])|(?P<thai>(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎]))"
 )
-_FENCE = regex.compile(r"\s*(`{3,}|~{3,})")
-_HEADING = regex.compile(r"\s*#{1,6}(?:\s|$)")
-_BULLET = regex.compile(r"\s*[-*+•‣◦·](?:\s+)(?=\S)")
-_ORDERED = regex.compile(r"\s*\d{1,9}[.)](?:\s+)(?=\S)")
-_UNDERLINE = regex.compile(r"\s*(?:=+|-{2,})\s*$")
-_QUOTED = regex.compile(r"(?:\s*>)+")
-_LAST_TOKEN = regex.compile(r"[^\s“”«»‹›「」『』（）()\[\]{}《》〈〉【】„‚\"]*$")
-_NEXT = regex.compile(r"\s*(?:>\s*)*([¡¿“«‹「『（(\[„‚\"'‘*_—–-]*)\s*(\S*)")
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_HEADING = re.compile(r"\s*#{1,6}(?:\s|$)")
+_BULLET = re.compile(r"\s*[-*+•‣◦·](?:\s+)(?=\S)")
+_ORDERED = re.compile(r"\s*\d{1,9}[.)](?:\s+)(?=\S)")
+_UNDERLINE = re.compile(r"\s*(?:=+|-{2,})\s*$")
+_QUOTED = re.compile(r"(?:\s*>)+")
+_LAST_TOKEN = re.compile(r"[^\s“”«»‹›「」『』（）()\[\]{}《》〈〉【】„‚\"]*$")
+_NEXT = re.compile(r"\s*(?:>\s*)*([¡¿“«‹「『（(\[„‚\"'‘*_—–-]*)\s*(\S*)")
 _SCRIPTS = regex.compile(
     r"(?P<latin>\p{Latin})|(?P<cyrillic>\p{Cyrillic})|(?P<han>[\p{Han}\p{Hiragana}\p{Katakana}])|(?P<hangul>\p{Hangul})|(?P<arabic>\p{Arabic})|(?P<indic>\p{Devanagari})|(?P<ethiopic>\p{Ethiopic})|(?P<thai>\p{Thai})|(?P<other>\p{L})"
 )
@@ -412,15 +413,12 @@ def _strip_marker(part: str, kind: str) -> str:
 
 
 def fit_splitter(documents: DataFrame) -> Splitter:
-    """The classifiers, fitted on SAMPLE rows of *documents*; without any, boundaries rest on priors."""
-    rows = (
-        pick(documents, "doc_id", "text")
-        .where("text IS NOT NULL")
-        .select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "text")
-        .limit(SAMPLE)
-        .collect()
-    )
+    """The classifiers, fitted on about SAMPLE rows of *documents* (the bound: twice as many),
+    drawn by a threshold on a hash; without any, boundaries rest on priors."""
+    docs = pick(documents, "doc_id", "text").where("text IS NOT NULL")
+    share = SAMPLE / max(1, docs.count())
+    drawn = docs if share >= 1 else docs.where(F.xxhash64("doc_id", "text") < int((2 * share - 1) * 2**63))
+    rows = drawn.select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).limit(2 * SAMPLE).collect()
     return Splitter.fit([r.text for r in rows])
 
 
