@@ -32,7 +32,8 @@ FANOUT_BITS, LEAF_ROWS = 3, 8
 def canonical_json(text: Column) -> Column:
     """JSON text with object keys in order, no white space and numbers without trailing
     zeros; a text that is no JSON stands for itself; null stays null."""
-    return F.coalesce(F.concat(F.lit("j"), F.to_json(F.to_variant_object(F.array(F.try_parse_json(text))))), F.concat(F.lit("t"), text))
+    parsed = F.try_parse_json(text)
+    return F.when(parsed.isNotNull(), F.concat(F.lit("j"), F.to_json(parsed))).otherwise(F.concat(F.lit("t"), text))
 
 
 def row_digest(values: list[Column]) -> list[Column]:
