@@ -3,8 +3,8 @@
 ``spark.read.format("component_files").option("root", ROOT)`` gives (component, path,
 kind, mode, size, data).  Unlike ``binaryFile`` it has hidden names, does not follow
 links and has modes.  Every component directory is its own partition.  A filter
-``component = 'x'`` reaches the reader (``spark.sql.python.filterPushdown.enabled``)
-or can be given as option ``target``, so other components are not read.
+``component = 'x'`` reaches the reader, or can be given as option ``target``, so other
+components are not read.
 """
 
 from __future__ import annotations
@@ -122,4 +122,6 @@ def sampled_digest(place: str, size: int, sample: int = SAMPLE_BYTES) -> bytes:
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to *spark* and let filters reach it (a reader that takes them needs that)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ComponentFiles)
