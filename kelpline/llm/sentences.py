@@ -44,7 +44,10 @@ SAMPLE_CHARACTERS = 20_000
 INTERIOR_CHARACTERS = 300
 
 #: Quantile of P(end of block) among ends of blocks that stands for a sure sentence end.
-SHARE_QUANTILE = 0.25
+SHARE_QUANTILE = 0.15
+#: Log odds by which undecided candidates count as boundaries: tokens that end sentences and
+#: abbreviate too are found at ends of blocks less often than the share says.
+LEANING = 0.4
 
 PAIRS = {"“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", "【": "】", "‘": "’", "„": "“”", "‚": "‘’"}
 CLOSERS = "”»›」』）)]}》〉】’\"'"
@@ -165,12 +168,15 @@ def _pairs(part: str, marks: list) -> list[tuple[int, int]]:
 _HEX, _JOINED = re.compile(r"(?=.*[a-f])(?=.*[0-9])[0-9a-f]{7,}\Z"), re.compile(r".[./_\\@].")
 _ASCII_END, _ASCII_START = re.compile(r"[A-Za-z0-9._/@\\+-]+\Z"), re.compile(r"[A-Za-z0-9._/@\\+-]+")
 
+#: Scripts in which words of another script may stand without a space.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
 
 @lru_cache(maxsize=100_000)
 def _shape(token: str) -> str:
     if not token:
         return "none"
-    if _HEX.match(token):
+    if _HEX.match(token) or (len(token) >= 7 and token.isdigit()):
         return "id"
     if token[0].isdigit():
         return "digit"
@@ -255,7 +261,7 @@ def _left(part: str, begun: int, core: str, mark: str, kind: str, opened: int) -
     spaced = bool(core) and core[-1].isspace()
     tokens = core.rstrip()
     token = _LAST_TOKEN.search(tokens[-80:])[0].lstrip("¡¿'‘*_>")
-    if token and not token.isascii() and token[-1].isascii():
+    if token and token[-1].isascii() and _UNSPACED.search(token):
         token = _ASCII_END.search(token)[0] if _ASCII_END.search(token) else token
     dots = mark.count(".") > 1 or "…" in mark
     sort = "dots" if dots else mark[-1]
@@ -287,7 +293,7 @@ def _left(part: str, begun: int, core: str, mark: str, kind: str, opened: int) -
 
 @lru_cache(maxsize=200_000)
 def _right(opener: str, token: str, around: str) -> tuple[str, ...]:
-    if not token.isascii() and token[:1].isascii():
+    if token[:1].isascii() and _UNSPACED.search(token):
         token = _ASCII_START.match(token)[0] if _ASCII_START.match(token) else token
     token = token.rstrip(".,;:!?…”»)’")
     shape, script = _shape(token), _script(token[:1] or "")
@@ -302,7 +308,7 @@ class MaxEnt:
     def __init__(self) -> None:
         self.weight: dict[str, float] = {}
 
-    def fit(self, counted: Counter, penalty: float = 1.0, rounds: int = 400) -> MaxEnt:
+    def fit(self, counted: Counter, penalty: float = 3.0, rounds: int = 400) -> MaxEnt:
         """*counted*: number of examples of each (features, label)."""
         if not counted:
             return self
@@ -380,10 +386,10 @@ class Splitter:
             left = self.known[c.left] = float(np.log(p / (1 - p)))
         right = self.known.get(c.right)
         if right is None:
-            right = self.known[c.right] = max(-4.0, min(3.0, self.starting.score(c.right) - self.prior))
+            right = self.known[c.right] = max(-4.0, min(1.6, self.starting.score(c.right) - self.prior))
         if len(self.known) > 200_000:
             self.known.clear()
-        return left + right > 0
+        return left + right > -LEANING
 
     def units(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the sentence units, in order."""
