@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.functions.text import truncated
 from kelpline.operators.identity import FIELDS, same_identity
 
 
@@ -69,3 +70,11 @@ def absent(known: DataFrame, present: DataFrame, keys: list[str], *except_for: D
     for other in (present, *except_for):
         out = out.join(other.select(*keys).distinct(), keys, "left_anti")
     return out
+
+
+def changed_text(changed: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """keys, text: one line ``changed: path`` per path in order, cut at *limit* bytes, and whether it was.
+    A key's paths are those of one component."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_set("path")), lambda p: F.concat(F.lit("changed: "), p, F.lit("\n"))), "")
+    texts = changed.groupBy(*keys).agg(lines.alias("text"))
+    return texts.select(*keys, truncated(F.col("text"), limit).alias("t")).select(*keys, "t.text", "t.truncated")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import text, times
-from kelpline.operators import baseline, correlate, identity, signals
+from kelpline.operators import baseline, correlate, identity, inventory, signals
 from kelpline.operators.history import last_delivered
 from kelpline.plans.general_sql import latest, seconds
 from kelpline.sources.tables import reader
@@ -219,6 +219,19 @@ def t_changed_files(spark, directory):
     return baseline.changed_keys(old, new, KEYS, "file_digests")
 
 
+ORACLES["t_changed_text"] = f"""SELECT machine_id, plugin_id, left(string_agg('changed: ' || path || chr(10), '' ORDER BY path), 90) AS text,
+  sum(strlen('changed: ' || path || chr(10))) > 90 AS truncated FROM ({ORACLES["t_changed_files"]}) GROUP BY ALL
+  HAVING strlen(string_agg(path, '')) = length(string_agg(path, ''))"""
+
+
+@query()
+def t_changed_text(spark, directory):
+    """Only of ASCII paths, so that the oracle can count characters for bytes."""
+    rows = t_changed_files(spark, directory)
+    wide = rows.where(F.length("path") != F.octet_length("path")).select(*KEYS).distinct()
+    return baseline.changed_text(rows, KEYS, 90).join(wide, KEYS, "left_anti")
+
+
 MISSING = f"""{RECORDS}, {DECISIONS}, {REVOKED},
 missing AS (SELECT DISTINCT machine_id, plugin_id FROM records ANTI JOIN (SELECT machine_id, plugin_id FROM installed_plugins WHERE removed_at IS NULL) i USING (machine_id, plugin_id)
   ANTI JOIN revoked USING (machine_id, plugin_id) ANTI JOIN (SELECT machine_id, plugin_id FROM decisions WHERE action = 'exclude' AND scope = 'missing-plugin') e USING (machine_id, plugin_id))"""
@@ -322,12 +335,31 @@ two AS (SELECT o.root, name, manifest_id, coalesce(claimed, CASE WHEN row_number
   FROM one o LEFT JOIN free f ON o.root = f.root AND o.name = f.id)
 SELECT coalesce(t.root, r.root) AS root, name, manifest_id, coalesce(t.id, r.id) AS id, ord FROM two t FULL JOIN rows r ON t.root = r.root AND t.id = r.id""")
 def t_listing_join(spark, directory):
-    t = reader(spark, directory)
-    dirs = t("installed_plugins").where("path IS NOT NULL AND plugin_id IS NOT NULL").select(
+    rows = reader(spark, directory)("identities_local").select(
+        F.col("machine_id").alias("root"), F.col("plugin_id").alias("id"), F.col("revision").alias("ord")
+    )
+    return correlate.claim_listing_rows(_directories(spark, directory), rows)
+
+
+def _directories(spark, directory) -> DataFrame:
+    rows = reader(spark, directory)("installed_plugins").where("path IS NOT NULL AND plugin_id IS NOT NULL")
+    return rows.select(
         F.col("machine_id").alias("root"), F.regexp_extract("path", r"[^/]*\z", 0).alias("name"), F.col("plugin_id").alias("manifest_id")
     )
-    rows = t("identities_local").select(F.col("machine_id").alias("root"), F.col("plugin_id").alias("id"), F.col("revision").alias("ord"))
-    return correlate.claim_listing_rows(dirs, rows)
+
+
+@query("SELECT count_if(NOT b) AS installed, count_if(b) AS backups, count_if(u) AS unscannable FROM (SELECT coalesce(classification = 'backup', FALSE) AS b, coalesce(classification = 'unscannable', FALSE) AS u FROM installed_plugins)")
+def t_inventory_counts(spark, directory):
+    return inventory.counts(reader(spark, directory)("installed_plugins"))
+
+
+@query("""WITH rows AS (SELECT machine_id AS root, plugin_id AS id, max(seq) AS ord FROM trust_records WHERE plugin_id IS NOT NULL GROUP BY ALL)
+SELECT root, id, ord FROM rows ANTI JOIN (SELECT machine_id AS root, plugin_id AS id FROM installed_plugins WHERE path IS NOT NULL AND plugin_id IS NOT NULL) USING (root, id)
+ANTI JOIN (SELECT DISTINCT machine_id AS root, regexp_extract(path, '[^/]*$') AS id FROM installed_plugins WHERE path IS NOT NULL AND plugin_id IS NOT NULL) USING (root, id)""")
+def t_unclaimed(spark, directory):
+    t = reader(spark, directory)
+    rows = t("trust_records").where("plugin_id IS NOT NULL").select(F.col("machine_id").alias("root"), F.col("plugin_id").alias("id"), F.col("seq").alias("ord"))
+    return inventory.unclaimed(correlate.claim_listing_rows(_directories(spark, directory), rows))
 
 
 # ------------------------------------------------------------------ signals

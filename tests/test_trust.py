@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import text
-from kelpline.operators import baseline, correlate, identity, signals
+from kelpline.operators import baseline, correlate, identity, inventory, signals
 
 
 def values(spark, column, inputs, kind="string"):
@@ -135,6 +135,20 @@ def test_listing_rows_are_claimed_once(spark):
     assert got == {("a", "x", 2), ("b", "b", 3), ("c", None, None), ("q", None, None), (None, "z", 4)}
 
 
+def test_inventory(spark):
+    good = '{"schemaVersion": 1, "id": "%s", "kinds": ["bar"]}'
+    dirs = [("a", False, good % "x"), ("b.bak", False, good % "y"), ("c", True, good % "y"), ("d", False, "broken"), ("e", None, '{"schemaVersion": 2, "id": "q"}'), ("f", False, '{"schemaVersion": 1, "id": "z"}'), ("g", False, None)]
+    directories = spark.createDataFrame([(1, *d) for d in dirs], "root int, name string, is_link boolean, manifest string")
+    text = '[{"id":"x","clonedFrom":"","active":true},{"id":"z","clonedFrom":"u","kinds":["k"]},{"id":"y"},{"no":"id"},null]'
+    rows, bad = inventory.parse_listing(spark.createDataFrame([(1, text), (2, None), (3, "{}"), (4, "nope")], "root int, text string"))
+    assert {(r.root, r.limitation) for r in bad.collect()} == {(2, "listing_absent"), (3, "listing_malformed"), (4, "listing_malformed")}
+    got = {r.name: r for r in inventory.inspect(directories, rows).collect()}
+    assert {k: r.classification for k, r in got.items()} == {"a": "built-in", "b.bak": "backup", "c": "unscannable", "d": "unscannable", "e": "unscannable", "f": "local", "g": "unscannable"}
+    assert (got["a"].kinds, got["f"].kinds, got["f"].repository, got["a"].repository, got["a"].active) == (["bar"], ["k"], "u", None, True)
+    assert [r.name for r in inventory.inspect(directories, rows, "z").collect()] == ["f"]
+    assert tuple(inventory.counts(inventory.inspect(directories, rows)).first()) == (6, 1, 4)
+
+
 SIGNAL = "ord bigint, plugin_id string, kind string, severity string, key string"
 
 
