@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ LEANING = 0.4
 
 PAIRS = {"“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", "【": "】", "‘": "’", "„": "“”", "‚": "‘’"}
 CLOSERS = "”»›」』）)]}》〉】’\"'"
+TRAILING = CLOSERS + "*_"
 #: Marks after which scripts without word spaces need no space.
 WIDE = "。！？｡"
 TERMINAL = ".!?…‼⁇⁈⁉。！？｡।॥؟۔።፧"
@@ -58,6 +60,7 @@ TERMINAL = ".!?…‼⁇⁈⁉。！？｡।॥؟۔።፧"
 _MARK = re.compile(
     r"(?P<end>[.!?…‼⁇⁈⁉。！？｡।॥؟۔።፧]+(?=[\s”»›」』）)\]}》〉】’\"'*_]|\Z)|[.!?…‼⁇⁈⁉।॥؟۔።፧]*[。！？｡][.!?…‼⁇⁈⁉。！？｡।॥؟۔።፧]*)|(?P<quote>[“”«»‹›「」『』（）()\[\]{}《》〈〉【】‘’„‚\"'])|(?P<thai>(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎]))"
 )
+BULLETS = "-*+•‣◦·"
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _HEADING = re.compile(r"\s*#{1,6}(?:\s|$)")
 _BULLET = re.compile(r"\s*[-*+•‣◦·](?:\s+)(?=\S)")
@@ -80,15 +83,16 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
     kind, start, end, i = "", 0, 0, 0
     while i < len(lines):
         a, b, line = lines[i]
-        fence = _FENCE.match(line)
-        blank = not line or line.isspace()
+        first = line.lstrip()[:1]
+        fence = _FENCE.match(line) if first in ("`", "~") else None
+        blank = not first
         new = ""
         if fence:
             new = "code"
         elif not blank:
-            if _HEADING.match(line):
+            if first == "#" and _HEADING.match(line):
                 new = "heading"
-            elif _BULLET.match(line) or (_ORDERED.match(line) and kind in ("", "item", "heading")):
+            elif first in BULLETS and _BULLET.match(line) or (first.isdigit() and kind in ("", "item", "heading") and _ORDERED.match(line)):
                 new = "item"
             elif not kind or kind == "heading":
                 new = "para"
@@ -129,10 +133,21 @@ def _is_data(part: str) -> bool:
 
 
 def _pairs(part: str, marks: list) -> list[tuple[int, int]]:
-    """Outermost matched quotes and brackets of a block, as (open, close) places."""
+    """Outermost matched quotes and brackets of a block, as (open, close) places.
+
+    ``waiting`` counts the open marks each closer could close, so that a closer without
+    one costs nothing and the work stays linear in any text.
+    """
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()
     found: list[tuple[int, int]] = []
     n = len(part)
+
+    def push(c: str, i: int) -> None:
+        stack.append((c, i))
+        for closer in PAIRS.get(c, c):
+            waiting[closer] += 1
+
     for m in marks:
         if m.lastgroup != "quote":
             continue
@@ -141,21 +156,24 @@ def _pairs(part: str, marks: list) -> list[tuple[int, int]]:
         if c in "\"'":
             opens = (before.isspace() or before in "([（「“«—–-") and not after.isspace()
             if c == '"' and before.isspace() and after.isspace():
-                opens = all(s[0] != c for s in stack)
+                opens = not waiting[c]
             if c == "'" and not opens and (before.isspace() or after.isalnum()):
                 continue
-            if opens and not (c == '"' and any(s[0] == c for s in stack)):
-                stack.append((c, i))
+            if opens and not (c == '"' and waiting[c]):
+                push(c, i)
                 continue
-        elif c in "’" and before.isalnum() and after.isalnum():
+        elif c == "’" and before.isalnum() and after.isalnum():
             continue
-        elif c in PAIRS and not (c in "“‘" and any(c in PAIRS.get(s[0], "") for s in stack)):
-            stack.append((c, i))
+        elif c in PAIRS and not (c in "“‘" and waiting[c]):
+            push(c, i)
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if c in PAIRS.get(stack[k][0], stack[k][0]):
-                found.append((stack[k][1], i))
-                del stack[k:]
+        while waiting[c]:
+            opener, place = stack.pop()
+            closers = PAIRS.get(opener, opener)
+            for closer in closers:
+                waiting[closer] -= 1
+            if c in closers:
+                found.append((place, i))
                 break
     found.sort()
     outer: list[tuple[int, int]] = []
@@ -197,11 +215,13 @@ def _script(token: str) -> str:
 
 def _last_script(text: str) -> str:
     """Script of the last letters of *text*."""
+    last = text[-1:]
+    if last.isascii() and last.isalpha():
+        return "latin"
     return next((x for x in (_script(w[::-1]) for w in reversed(text[-60:].split())) if x != "none"), "none")
 
 
-@dataclass(frozen=True)
-class Candidate:
+class Candidate(NamedTuple):
     """A place where a sentence may end, with the features of both classifiers."""
 
     end: int
@@ -239,7 +259,7 @@ def candidates(part: str) -> tuple[list[Candidate], list[int]]:
             end, kind, core, mark = i + 1, "closed", tail[:-1], tail[-1]
         else:
             continue
-        while end < bare_end and part[end] in CLOSERS + "*_" and end not in closing:
+        while end < bare_end and part[end] in TRAILING and end not in closing:
             end += 1
         after = part[end] if end < bare_end else ""
         if after and not after.isspace():
@@ -265,29 +285,42 @@ def _left(part: str, begun: int, core: str, mark: str, kind: str, opened: int) -
         token = _ASCII_END.search(token)[0] if _ASCII_END.search(token) else token
     dots = mark.count(".") > 1 or "…" in mark
     sort = "dots" if dots else mark[-1]
-    shape = _shape(token) if token else ("closer" if tokens and tokens[-1] in CLOSERS else "none")
     script = _last_script(tokens)
     if kind == "closed":
         lead = part[begun:opened].rstrip()
         place = "first" if not lead.strip("*_>- ") else "colon" if lead[-1] in ":：" else "inside"
         pair = "bracket" if part[opened] in "([（{【" else "quote"
-        word = lead.split()[-1].casefold() if place == "inside" else ""
-        return (f"closed {pair} {place}", f"closed {pair} {place} {script}", f"closed {pair} after {word}"[:40], script)
+        word = lead[-80:].split()[-1] if place == "inside" else ""
+        return _closed_features(pair, place, word, script)
     if dots:
         return ("dots", f"dots {script}", f"dots {'spaced' if spaced else 'tight'}", script)
     if sort != ".":
         return (f"mark {sort}", f"mark {sort} {script}", script)
-    folded = token.casefold()
+    shape = _shape(token) if token else ("closer" if tokens and tokens[-1] in CLOSERS else "none")
+    before = ""
+    if shape == "digit" or len(token) <= 2:
+        words = tokens[-200 - len(token) : len(tokens) - len(token)].split()
+        before = words[-1] if words else ""
+    return _dot_features(token, shape, before, script)
+
+
+@lru_cache(maxsize=100_000)
+def _closed_features(pair: str, place: str, word: str, script: str) -> tuple[str, ...]:
+    return (
+        f"closed {pair} {place}", f"closed {pair} {place} {script}", f"closed {pair} after {word.casefold()}"[:40], script
+    )
+
+
+@lru_cache(maxsize=200_000)
+def _dot_features(token: str, shape: str, before: str, script: str) -> tuple[str, ...]:
+    folded, before = token.casefold(), before.casefold()
     out = [f"dot {shape} {script}", f"dot length {min(len(token), 6)} {shape}"]
     if shape == "digit":
-        before = tokens[: len(tokens) - len(token)].split()
-        word = before[-1].casefold() if before else ""
-        out += [f"dot digit after {word}"[:40], "dot whole number" if token.isdigit() else "dot number with marks"]
+        out += [f"dot digit after {before}"[:40], "dot whole number" if token.isdigit() else "dot number with marks"]
     elif shape != "id" or len(token) <= 6:
         out.append(f"dot token {folded[-24:]}")
         if len(token) <= 2:
-            before = tokens[: len(tokens) - len(token)].split()
-            out.append(f"dot short {folded} after {before[-1].casefold() if before else ''}"[:40])
+            out.append(f"dot short {folded} after {before}"[:40])
     return (*out, script)
 
 

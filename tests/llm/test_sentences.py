@@ -78,7 +78,7 @@ def test_thai_space_and_line_break(splitter):
 
 
 def test_units_hold_every_character_but_white_space(splitter):
-    for text in [*CORPUS, "a\r\n\r\nb", "“((", "'''", "```\nnever closed", "x" * 50_000, ". " * 5_000]:
+    for text in [*CORPUS, "a\r\n\r\nb", "“((", "'''", "```\nnever closed", "x" * 50_000, ". " * 5_000, "([" * 40_000 + "}" * 40_000, "“" * 40_000 + "»" * 40_000, "'a " * 40_000]:
         units = splitter.units(text)
         assert "".join(text[a:b] for a, b in units).translate({32: None, 10: None, 13: None}) == "".join(text.split())
         assert all(a < b and text[a:b] == text[a:b].strip() for a, b in units)
