@@ -37,5 +37,5 @@ def spread(df: DataFrame) -> DataFrame:
     once; a larger one is taken as it is.  Rows and results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(3 * cores) if size < cores * ROW_GROUP else df
