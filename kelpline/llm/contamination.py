@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.frames import pick
+from kelpline.functions.frames import pick, spread
 
 WORDS, CHARACTERS = 8, 14
 SHARE = (1, 4)
@@ -243,7 +243,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, radius: int = RADIUS) -
     run, and null item ids match nothing.  Repeated rows give their pairs once each
     per document row; of an item_id given twice each text counts.
     """
-    docs = pick(documents, "doc_id", "text").where("text IS NOT NULL AND text <> ''")
+    docs = spread(pick(documents, "doc_id", "text")).where("text IS NOT NULL AND text <> ''")
     asked = pick(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
