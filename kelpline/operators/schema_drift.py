@@ -32,6 +32,16 @@ TARGET = (
     "repositoryLayout",
     "kind",
 )
+#: Other names fields have had: the renames that ``schema_changes`` finds.
+RENAMED = {
+    "verificationStatus": ("verification_status", "verficationStatus", "verification"),
+    "upstreamCheckStatus": (
+        "upstream_check_status", "upstream.checkStatus", "upstreamCheck", "checkStatus", "upstreamcheckstatus", "UpstreamCheckStatus",
+    ),
+    "repositoryLayout": ("repository_layout", "repository layout", "repoLayout", "layout", "repositorylayout", "Layout"),
+    "stars": ("starCount", "star_count"),
+    "license": ("licence", "License", "spdx"),
+}
 #: A renamed field keeps its value in at least this share of the entries compared.
 RENAME_SHARE = (9, 10)
 
@@ -113,25 +123,37 @@ def ingest(files: DataFrame, target: tuple[str, ...] = TARGET) -> DataFrame:
     )
 
 
-def promote(ingested: DataFrame, approved: Mapping[str, str]) -> DataFrame:
+def promote(ingested: DataFrame, approved: Mapping[str, str], renamed: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Replay rescued values of *approved* fields (name -> SQL type) into typed columns.
 
-    A value that does not cast stays rescued; one that does leaves ``_rescued``.
+    A field's value is looked for in its own column (if *ingested* has one), then among
+    the rescued values under its name, then under the names of *renamed* (name -> other
+    names, in order); the first scalar that casts counts.  It leaves ``_rescued`` if the cast
+    keeps its text; all else stays rescued, and what the cast changes (true as 1) too.
     """
     as_map = F.try_variant_get(F.try_parse_json(F.col(RESCUED)), "$", "map<string,variant>")
     opened = ingested.withColumn("rescued_map", as_map)
-    value = {n: F.try_variant_get(F.element_at("rescued_map", F.lit(n)), "$", t) for n, t in approved.items()}
-    typed = opened.select("*", *[v.alias(n) for n, v in value.items()])
 
-    def stays(key: Column, _: Column) -> Column:
+    def chosen(n: str, t: str) -> Column:
+        own = [F.when(F.col(n).isNotNull(), F.struct(F.lit(None).cast("string").alias("key"), F.col(n).alias("value")))] if n in ingested.columns else []
+        names = (n, *(renamed or {}).get(n, ()))
+        found = [(k, F.element_at("rescued_map", F.lit(k))) for k in names]
+        replayed = [(k, F.when(~symbol(v).isin("array", "object"), F.try_variant_get(v, "$", t))) for k, v in found]
+        return F.coalesce(*own, *[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in replayed])
+
+    picked = opened.select("*", *[chosen(n, t).alias(f"{n}_from") for n, t in approved.items()])
+
+    def stays(key: Column, value: Column) -> Column:
         gone = F.lit(False)
         for n in approved:
-            gone = gone | ((key == n) & F.col(n).isNotNull())
+            same = F.try_variant_get(value, "$", "string").eqNullSafe(F.col(f"{n}_from.value").cast("string"))
+            gone = gone | (key.eqNullSafe(F.col(f"{n}_from.key")) & same)
         return ~gone
 
     rest = F.map_filter("rescued_map", stays)
-    kept = [c for c in ingested.columns if c != RESCUED]
-    return typed.select(*kept, *approved, F.when(F.size(rest) > 0, F.to_json(rest)).alias(RESCUED))
+    columns = [*[c for c in ingested.columns if c != RESCUED], *[n for n in approved if n not in ingested.columns]]
+    typed = [F.col(f"{n}_from.value").alias(n) if n in approved else F.col(n) for n in columns]
+    return picked.select(*typed, F.when(F.size(rest) > 0, F.to_json(rest)).alias(RESCUED))
 
 
 def observed_fields(routed: DataFrame, target: tuple[str, ...] = TARGET) -> DataFrame:

@@ -61,10 +61,11 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, directory: str) -> DataFrame:
-    """The one consistent table: typed columns and promoted fields (what stays rescued is left out)."""
+    """The one consistent table: typed columns, renamed and retyped values replayed into
+    them, promoted fields, and every other non-null value in ``_rescued``."""
     table = schema_drift.ingest(reader(spark, directory)("catalog_files"))
-    promoted = schema_drift.promote(table, {"stars": "bigint", "license": "string"})
-    return promoted.drop(schema_drift.RESCUED)
+    approved = dict.fromkeys(schema_drift.TARGET, "string") | {"stars": "bigint", "license": "string"}
+    return schema_drift.promote(table, approved, schema_drift.RENAMED)
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
