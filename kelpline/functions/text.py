@@ -95,6 +95,8 @@ def split_range(text: Column) -> Column:
 def truncated(text: Column, limit: int) -> Column:
     """(text, truncated): at most *limit* bytes, cut at a character's start."""
     data = F.encode(text, "UTF-8")
-    head = F.decode(F.substring(data, 1, limit), "UTF-8")
+    # The byte after the cut must start a character (or be none); of four bytes in a row one does.
+    ends = [F.when(~F.hex(F.substring(data, n + 1, 1)).rlike("^[89AB]"), F.lit(n)) for n in range(limit, max(limit - 4, -1), -1)]
+    head = F.decode(F.substring(data, F.lit(1), F.coalesce(*ends)), "UTF-8")
     cut = F.octet_length(text) > limit
-    return F.struct(F.when(cut, F.regexp_replace(head, "\\x{FFFD}+\\z", "")).otherwise(text).alias("text"), cut.alias("truncated"))
+    return F.struct(F.when(cut, head).otherwise(text).alias("text"), cut.alias("truncated"))

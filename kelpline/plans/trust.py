@@ -226,10 +226,7 @@ ORACLES["t_changed_text"] = f"""SELECT machine_id, plugin_id, left(string_agg('c
 
 @query()
 def t_changed_text(spark, directory):
-    """Only of ASCII paths, so that the oracle can count characters for bytes."""
-    rows = t_changed_files(spark, directory)
-    wide = rows.where(F.length("path") != F.octet_length("path")).select(*KEYS).distinct()
-    return baseline.changed_text(rows, KEYS, 90).join(wide, KEYS, "left_anti")
+    return baseline.changed_text(t_changed_files(spark, directory), KEYS, 90)
 
 
 MISSING = f"""{RECORDS}, {DECISIONS}, {REVOKED},

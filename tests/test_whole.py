@@ -3,9 +3,10 @@
 import datetime as dt
 import json
 
-import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kelpline.functions import text
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -34,3 +35,41 @@ def test_table_keeps_every_value(spark, tmp_path):
     assert (got[1].id, got[1].stars, got[1].license, got[1].upstreamCheckStatus) == ("5", 1, "MIT", None)
     assert rescued[1] == {"stars": True, "starCount": 7, "upstream.checkStatus": {"value": "moved"}}
     assert (got[2].stars, got[2].repositoryLayout, rescued[2]) == (9, "root-plugin", {"stars": "1,016", "layout": "suite", "size_kb": 1.5})
+
+
+# ------------------------------------------------------------------ t_changed_text
+
+
+IDENTITY = "machine_id bigint, plugin_id string, revision bigint, file_digests map<string,string>"
+
+
+def cut(line, limit):
+    head = line.encode()
+    while len(head) > limit or not whole(head):
+        head = head[:-1] if len(head) <= limit else head[:limit]
+    return head.decode(), len(line.encode()) > limit
+
+
+def whole(data):
+    try:
+        return data.decode() is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def test_truncated_inside_characters(spark):
+    texts = ["aé漢😀" * 3, "😀😀", "漢a\N{REPLACEMENT CHARACTER}\N{REPLACEMENT CHARACTER}b", "abc", "é", ""]
+    for limit in range(13):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, v string")
+        got = [(r.t.text, r.t.truncated) for r in df.select("k", text.truncated(F.col("v"), limit).alias("t")).orderBy("k").collect()]
+        assert got == [cut(t, limit) for t in texts], limit
+
+
+def test_changed_text_of_all_paths(spark, tmp_path):
+    paths = {p: ["a" * n + w + "/" * 60 for n in range(70, 84)] for p, w in (("wide", "é漢😀"), ("plain", "abc"))}
+    paths["short"] = ["é"]
+    old = [(k, p, 1, {f: "0"}) for p, fs in paths.items() for k, f in enumerate(fs)]
+    new = [(k, p, 1, {f: "1"}) for p, fs in paths.items() for k, f in enumerate(fs)]
+    got = run(spark, tmp_path, "t_changed_text", identities_local=(old, IDENTITY), identities_mirror=(new, IDENTITY))
+    want = {(k, p): cut(f"changed: {f}\n", 90) for p, fs in paths.items() for k, f in enumerate(fs)}
+    assert {(r.machine_id, r.plugin_id): (r.text, r.truncated) for r in got} == want
