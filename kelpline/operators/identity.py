@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.functions.skew import running_sums
 from kelpline.functions.text import big_endian, sha256_hex
 
 MAX_FILES = 10_000
@@ -117,6 +118,29 @@ def budget_fold(files: Column, file_limit: int = MAX_FILE_BYTES, total_limit: in
     return F.aggregate(files, start, step, lambda acc: acc["rows"])
 
 
+def budget_folds(
+    files: DataFrame, keys: list[str], part: str, file_limit: int = MAX_FILE_BYTES, total_limit: int = MAX_TOTAL_BYTES, sample: int = SAMPLE_BYTES
+) -> DataFrame:
+    """keys, path, outcome, charged: ``budget_fold`` over all files (keys, *part*, place, path, size) of
+    each key in the order of place, of which *part* is a range.  Null keys form one group.
+
+    A file charges at least the smaller of its size and *sample*, or all that is left.  So the
+    files before which these sum up to *total_limit* decide the rest: after them the budget is
+    used up whatever was charged.  Only they are gathered, at most one per byte of the budget;
+    empty files are read at no charge anywhere.
+    """
+    least = F.least("size", F.lit(sample)).cast("long")
+    sized = files.select(*keys, part, "place", "path", "size", least.alias("least"), least.alias("until"))
+    summed = running_sums(sized, keys, part, [F.col("place"), F.col("size")], ["until"])
+    open_ = (F.col("size") > 0) & (F.col("until") - F.col("least") < total_limit)
+    gathered = summed.where(open_).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "size", "path"))).alias("files"))
+    folded = gathered.select(*keys, F.inline(budget_fold(F.col("files"), file_limit, total_limit, sample)))
+    rest = summed.where(~open_).select(
+        *keys, "path", F.when(F.col("size") > 0, "skipped").otherwise("read").alias("outcome"), F.lit(0).cast("long").alias("charged")
+    )
+    return folded.unionByName(rest)
+
+
 def visit_order(path: Column) -> Column:
     """Key that sorts paths as a depth-first walk meets them: by name within each folder."""
     return F.split(path, "/")

@@ -135,17 +135,19 @@ def t_limitation_set(spark, directory):
 
 @query()
 def t_budget_fold(spark, directory):
-    """Files in visit order under a byte budget: documents stand in, a plugin's texts being its files."""
-    docs = reader(spark, directory)("documents").where("plugin_id IS NOT NULL")
-    file = F.struct(
-        identity.visit_order(F.concat("source", F.lit("/"), "doc_id")).alias("place"),
-        F.concat("source", F.lit("/"), "doc_id").alias("path"),
+    """Files in visit order under a byte budget: documents stand in, a plugin's texts being its
+    files (those of no plugin are one group, and without a source a file is at the root)."""
+    docs = reader(spark, directory)("documents")
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    files = docs.select(
+        "plugin_id",
+        # A hot plugin is cut into ranges of its order, so no task sorts an unbounded number of files.
+        identity.visit_order(F.concat_ws("/", "source", F.col("doc_id").cast("string").substr(1, 3))).alias("range"),
+        identity.visit_order(path).alias("place"),
+        path.alias("path"),
         F.coalesce(F.col("n_chars"), F.lit(0).cast("long")).alias("size"),
     )
-    # A hot plugin is cut into folders, so no fold holds an unbounded number of files.
-    folders = docs.groupBy("plugin_id", "source", F.expr("doc_id div 1000").alias("folder")).agg(F.array_sort(F.collect_list(file)).alias("files"))
-    folds = folders.select("plugin_id", "source", "folder", F.explode(identity.budget_fold(F.col("files"), 2_000, 6_000, 400)).alias("f"))
-    return folds.select("plugin_id", "source", "folder", "f.*")
+    return identity.budget_folds(files, ["plugin_id"], "range", 2_000, 6_000, 400)
 
 
 # ------------------------------------------------------------------ baselines and drift

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kelpline.functions import text
+from tests.test_trust import folded
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -73,3 +75,24 @@ def test_changed_text_of_all_paths(spark, tmp_path):
     got = run(spark, tmp_path, "t_changed_text", identities_local=(old, IDENTITY), identities_mirror=(new, IDENTITY))
     want = {(k, p): cut(f"changed: {f}\n", 90) for p, fs in paths.items() for k, f in enumerate(fs)}
     assert {(r.machine_id, r.plugin_id): (r.text, r.truncated) for r in got} == want
+
+
+# ------------------------------------------------------------------ t_budget_fold
+
+
+DOCUMENTS = "doc_id bigint, plugin_id string, source string, n_chars bigint"
+
+
+def test_budget_spans_a_whole_plugin(spark, tmp_path):
+    rng = random.Random(3)
+    size = lambda: rng.choice([None, 0, 0, 1, 7, 90, 399, 400, 401, 1_500, 1_999, 2_000, 2_001, 9_000])
+    docs = [(k, rng.choice(["hot", "hot", *map(str, range(40)), None]), rng.choice(["s.a", "s.b", "s", "", None]), size()) for k in range(1, 3_000)]
+    got = run(spark, tmp_path, "t_budget_fold", documents=(docs, DOCUMENTS))
+    want = {}
+    for plugin in {d[1] for d in docs}:
+        own = [("/".join([*[s] * (s is not None), str(k)]), n or 0) for k, p, s, n in docs if p == plugin]
+        for f in folded(sorted(own, key=lambda f: f[0].split("/")), 2_000, 6_000, 400):
+            want[plugin, f[0]] = f[1:]
+    assert len(got) == len(docs) == len(want)
+    assert {(r.plugin_id, r.path): (r.outcome, r.charged) for r in got} == want
+    assert {"read", "sampled", "skipped"} == {o for (p, _), (o, _) in want.items() if p is None}
