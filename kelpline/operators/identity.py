@@ -34,7 +34,8 @@ def entry_bytes(path: Column, kind: Column, mode: Column, data: Column) -> Colum
 def content_identity(entries: DataFrame, keys: list[str]) -> DataFrame:
     """keys, content_digest, file_count, file_digests of rows (keys, path, kind, mode, data).
 
-    Rows repeated alike count once.  Of the entries in path order the first MAX_FILES
+    Rows repeated alike count once; one without a path is no file, but its keys are a
+    component all the same (with no files: the digest of no bytes).  Of the entries in path order the first MAX_FILES
     are digested; ``file_limit`` tells whether there were more.
     """
     once = entries.select(*keys, "path", "kind", "mode", "data").distinct()
@@ -44,7 +45,7 @@ def content_identity(entries: DataFrame, keys: list[str]) -> DataFrame:
         F.hex(entry_bytes(*[F.col(c) for c in ("path", "kind", "mode", "data")])).alias("bytes"),
         file_digest(*[F.col(c) for c in ("kind", "mode", "data")]).alias("digest"),
     )
-    listed = packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "digest"))).alias("all"))
+    listed = packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "bytes", "digest")))).alias("all"))
     kept = listed.select(*keys, F.slice("all", 1, MAX_FILES).alias("files"), (F.size("all") > MAX_FILES).alias("file_limit"))
     return kept.select(
         *keys,

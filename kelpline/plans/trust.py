@@ -103,11 +103,19 @@ def t_map_digest(spark, directory):
     return identity.map_identity(rows, [*KEYS, "revision"], "file_digests")
 
 
-def _file_entries(rows: DataFrame) -> DataFrame:
-    """Files of each installation's latest identity: path, kind, mode and (here) the digest's bytes as data."""
-    newest = baseline.latest(rows.select(*KEYS, "revision", "file_digests"), KEYS, ["revision"])
-    files = newest.select(*KEYS, F.explode("file_digests").alias("path", "digest")).where("digest IS NOT NULL")
-    return files.select(*KEYS, "path", F.lit("f").alias("kind"), F.lit(0o100644).cast("long").alias("mode"), F.unhex("digest").alias("data"))
+def _latest_files(spark, directory) -> DataFrame:
+    """Files of each installation's latest identity: path and digest; one row without a path where there are none."""
+    newest = baseline.latest(reader(spark, directory)("identities_local").select(*KEYS, "revision", "file_digests"), KEYS, ["revision"])
+    return newest.select(*KEYS, F.explode_outer("file_digests").alias("path", "digest"))
+
+
+def _file_entries(files: DataFrame) -> DataFrame:
+    """path, kind, mode and (here) the digest's bytes as data.  A file whose digest is not known (null,
+    or no hexadecimal text) is of kind '?' and its data is the text there is."""
+    known = F.unhex("digest")
+    kind = F.when(known.isNotNull(), "f").otherwise("?")
+    data = F.coalesce(known, F.encode("digest", "UTF-8"), F.lit(b""))
+    return files.select(*KEYS, "path", kind.alias("kind"), F.lit(0o100644).cast("long").alias("mode"), data.alias("data"))
 
 
 @query(f"""WITH newest AS {latest('identities_local', 'machine_id, plugin_id', 'revision')},
@@ -115,7 +123,7 @@ files AS (SELECT machine_id, plugin_id, e.key AS path, e.value AS digest FROM (S
 coded AS (SELECT machine_id, plugin_id, path, lpad(to_hex(octet_length(encode(path))), 16, '0') || hex(encode(path)) || '66' || '000081A4' || lpad(to_hex(octet_length(unhex(digest))), 16, '0') || digest AS code FROM files)
 SELECT machine_id, plugin_id, sha256(unhex(string_agg(code, '' ORDER BY path))) AS content_digest, count(*) AS file_count FROM coded GROUP BY ALL""")
 def t_content_digest(spark, directory):
-    out = identity.content_identity(_file_entries(reader(spark, directory)("identities_local")), KEYS)
+    out = identity.content_identity(_file_entries(_latest_files(spark, directory)), KEYS)
     return out.select(*KEYS, "content_digest", "file_count")
 
 
@@ -123,8 +131,9 @@ def t_content_digest(spark, directory):
 files AS (SELECT machine_id, plugin_id, e.key AS path, e.value AS digest FROM (SELECT machine_id, plugin_id, unnest(map_entries(file_digests)) AS e FROM newest) WHERE e.value IS NOT NULL)
 SELECT machine_id, plugin_id, path, sha256(unhex('66' || '000081A4' || digest)) AS digest FROM files""")
 def t_file_digest(spark, directory):
-    files = _file_entries(reader(spark, directory)("identities_local"))
-    return files.select(*KEYS, "path", identity.file_digest(F.col("kind"), F.col("mode"), F.col("data")).alias("digest"))
+    files = _latest_files(spark, directory).where("digest IS NOT NULL")
+    digest = identity.file_digest(F.lit("f"), F.lit(0o100644).cast("long"), F.unhex("digest"))
+    return files.select(*KEYS, "path", digest.alias("digest"))
 
 
 @query("""SELECT machine_id, plugin_id, revision, array_to_string(list_sort(list_distinct(list_filter(coalesce(limitations, []), lambda x: x IS NOT NULL))), ',') AS limitations FROM identities_mirror""")

@@ -1,6 +1,7 @@
 """Queries that must not leave out rows or values, against plain Python."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -96,3 +97,25 @@ def test_budget_spans_a_whole_plugin(spark, tmp_path):
     assert len(got) == len(docs) == len(want)
     assert {(r.plugin_id, r.path): (r.outcome, r.charged) for r in got} == want
     assert {"read", "sampled", "skipped"} == {o for (p, _), (o, _) in want.items() if p is None}
+
+
+# ------------------------------------------------------------------ t_content_digest
+
+
+def test_every_latest_identity_has_a_digest(spark, tmp_path):
+    known = hashlib.sha256(b"x").hexdigest()
+    maps = {"none": None, "empty": {}, "one": {"a": known}, "null": {"a": known, "é": None}, "onlynull": {"é": None}, "text": {"é": "no hex"}, "blank": {"é": ""}}
+    rows = [(1, p, 2, m) for p, m in maps.items()] + [(1, "none", 1, {"old": known}), (1, None, 1, None), (None, "one", 1, {"a": known})]
+    got = {(r.machine_id, r.plugin_id): (r.content_digest, r.file_count) for r in run(spark, tmp_path, "t_content_digest", identities_local=(rows, IDENTITY))}
+
+    def digest(files):
+        h = hashlib.sha256()
+        for path, kind, data in sorted((p.encode(), *coded(d)) for p, d in (files or {}).items()):
+            h.update(len(path).to_bytes(8, "big") + path + kind + (0o100644).to_bytes(4, "big") + len(data).to_bytes(8, "big") + data)
+        return h.hexdigest(), len(files or {})
+
+    def coded(d):
+        return (b"f", bytes.fromhex(d)) if d is not None and d != "no hex" else (b"?", (d or "").encode())
+
+    assert got == {(1, p): digest(m) for p, m in maps.items()} | {(1, None): digest(None), (None, "one"): digest(maps["one"])}
+    assert len({got[1, p] for p in ("null", "onlynull", "text", "blank", "one", "empty")}) == 6
