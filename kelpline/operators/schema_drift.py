@@ -196,9 +196,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
     'renamed': a field is gone and a new one has the same JSON value in at least nine
     tenths of the entries (by id, first listed; entries without an id do not take
-    part) that are in both files and held the old one, of which there must be one.  A
-    field is renamed at most once: of several candidates the pair with the most equal
-    values counts, then the smallest names.  Other gone or new fields: 'removed',
+    part) that are in both files and held the old one, of which there must be one.  Every
+    such pair is a row, also if a field is in several.  Other gone or new fields: 'removed',
     'added'; 'retyped': the set of types differs.  Field names are exact.
     """
     # Parsed once: the table written holds names, types and digests, no values.
@@ -269,21 +268,11 @@ def schema_changes(files: DataFrame) -> DataFrame:
     )
     counted = votes.groupBy("registry_id", "pair", "gone", "fresh").agg(F.count(F.lit(1)).alias("n"))
     totals = counted.where("fresh IS NULL").select("registry_id", "pair", "gone", F.col("n").alias("total"))
-    candidates = (
+    renames = (
         counted.where("fresh IS NOT NULL")
         .join(totals, ["registry_id", "pair", "gone"])
         .where(F.col("n") * RENAME_SHARE[1] >= F.col("total") * RENAME_SHARE[0])
-    )
-    # Few candidates per pair of files: the best of each gone field, then of each new one.
-    best = lambda by: Window.partitionBy("registry_id", "pair", by).orderBy(
-        (F.col("n") / F.col("total")).desc(), F.col("n").desc(), "gone", "fresh"
-    )
-    renames = (
-        candidates.withColumn("a", F.row_number().over(best("gone")))
-        .where("a = 1")
-        .withColumn("b", F.row_number().over(best("fresh")))
-        .where("b = 1")
-        .select("registry_id", "pair", F.col("gone"), F.col("fresh"))
+        .select("registry_id", "pair", "gone", "fresh")
     )
     renamed = renames.select(
         "registry_id", "pair", F.col("fresh").alias("field"), F.lit("renamed").alias("change_kind"), F.col("gone").alias("old_field_name")

@@ -119,3 +119,15 @@ def test_every_latest_identity_has_a_digest(spark, tmp_path):
 
     assert got == {(1, p): digest(m) for p, m in maps.items()} | {(1, None): digest(None), (None, "one"): digest(maps["one"])}
     assert len({got[1, p] for p in ("null", "onlynull", "text", "blank", "one", "empty")}) == 6
+
+
+# ------------------------------------------------------------------ p5_found
+
+
+def test_every_pair_alike_is_a_rename(spark, tmp_path):
+    one = [{"id": str(k), "a": 1, "b": 1, "c": k, "gone": -k - 1} for k in range(10)]
+    two = [{"id": str(k), "x": 1, "y": 1 if k else 2, "z": k, "new": "n"} for k in range(10)]
+    files = [(k, 1, k, T0, json.dumps(f)) for k, f in enumerate((one, two))]
+    got = {(r.file_seq, r.field_name, r.change_kind, r.old_field_name) for r in run(spark, tmp_path, "p5_found", catalog_files=(files, FILES))}
+    renamed = {("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("z", "c")}
+    assert got == {(1, new, "renamed", old) for new, old in renamed} | {(1, "gone", "removed", ""), (1, "new", "added", "")}
