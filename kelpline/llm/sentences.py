@@ -38,11 +38,8 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.frames import pick, spread
 
-#: Rows the classifiers are fitted on, and the longest part of a text looked at for it.
+#: Rows the classifiers are fitted on, each with its whole text.
 SAMPLE = 4_000
-SAMPLE_CHARACTERS = 20_000
-#: Start of a block in which tokens after plain words are taken as examples of no start.
-INTERIOR_CHARACTERS = 300
 
 #: Quantile of P(end of block) among ends of blocks that stands for a sure sentence end.
 SHARE_QUANTILE = 0.15
@@ -396,7 +393,7 @@ class Splitter:
                 around = _last_script(part)
                 starts[_right(first[1], first[2], around), 1] += 1
                 before = ""
-                for word in part[:INTERIOR_CHARACTERS].split():
+                for word in part.split():
                     if before.isalpha():
                         starts[_right("", word, around), 0] += 1
                     before = word
@@ -457,7 +454,7 @@ def fit_splitter(documents: DataFrame) -> Splitter:
     docs = pick(documents, "doc_id", "text").where("text IS NOT NULL")
     share = SAMPLE / max(1, docs.count())
     drawn = docs if share >= 1 else docs.where(F.xxhash64("doc_id", "text") < int((2 * share - 1) * 2**63))
-    rows = drawn.select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).limit(2 * SAMPLE).collect()
+    rows = drawn.select("text").limit(2 * SAMPLE).collect()
     return Splitter.fit([r.text for r in rows])
 
 
