@@ -62,6 +62,7 @@ _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _HEADING = re.compile(r"\s*#{1,6}(?:\s|$)")
 _BULLET = re.compile(r"\s*[-*+•‣◦·](?:\s+)(?=\S)")
 _ORDERED = re.compile(r"\s*\d{1,9}[.)](?:\s+)(?=\S)")
+_NUMBER = re.compile(r"\d+")
 _UNDERLINE = re.compile(r"\s*(?:=+|-{2,})\s*$")
 _QUOTED = re.compile(r"(?:\s*>)+")
 _LAST_TOKEN = re.compile(r"[^\s“”«»‹›「」『』（）()\[\]{}《》〈〉【】„‚\"]*$")
@@ -77,6 +78,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
     for line in text.split("\n"):
         lines.append((at, at + len(line), line))
         at += len(line) + 1
+    listed = _list_starts([line for _, _, line in lines])
     kind, start, end, i = "", 0, 0, 0
     while i < len(lines):
         a, b, line = lines[i]
@@ -89,7 +91,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
         elif not blank:
             if first == "#" and _HEADING.match(line):
                 new = "heading"
-            elif first in BULLETS and _BULLET.match(line) or (first.isdigit() and kind in ("", "item", "heading") and _ORDERED.match(line)):
+            elif first in BULLETS and _BULLET.match(line) or (first.isdigit() and (kind in ("", "item", "heading") or i in listed) and _ORDERED.match(line)):
                 new = "item"
             elif not kind or kind == "heading":
                 new = "para"
@@ -117,6 +119,24 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
         yield start, end, kind
 
 
+def _list_starts(lines: list[str]) -> set[int]:
+    """Lines that start an ordered list even within a paragraph: the following number starts a later
+    line before the next blank one, or the number is 1 and the line above ends in a colon (else a
+    number at a line break may be a date or an amount)."""
+    found: set[int] = set()
+    later: set[int] = set()
+    for i in range(len(lines) - 1, -1, -1):
+        bare = lines[i].lstrip()
+        if not bare:
+            later.clear()
+        elif bare[0].isdigit() and _ORDERED.match(lines[i]):
+            number = int(_NUMBER.match(bare)[0])
+            if number + 1 in later or (number == 1 and i and lines[i - 1].rstrip().endswith((":", "："))):
+                found.add(i)
+            later.add(number)
+    return found
+
+
 def _is_data(part: str) -> bool:
     """A paragraph without letters or digits, or one of JSON."""
     bare = part.strip()

@@ -13,3 +13,15 @@ def test_fitting_sees_whole_texts(spark, monkeypatch):
     texts = ["word " * 6_000 + "end.", "short."]
     monkeypatch.setattr(s.Splitter, "fit", staticmethod(sorted))
     assert s.fit_splitter(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")) == sorted(texts)
+
+
+def parts(text):
+    return [(text[a:b], kind) for a, b, kind in s.blocks(text)]
+
+
+def test_ordered_items_below_a_paragraph():
+    assert parts("Steps:\n1. a\n2. b\nc\n3. d") == [("Steps:", "para"), ("1. a", "item"), ("2. b\nc", "item"), ("3. d", "item")]
+    assert parts("Then\n4) a\nb\n5) c") == [("Then", "para"), ("4) a\nb", "item"), ("5) c", "item")]
+    assert parts("Only:\n1. a") == [("Only:", "para"), ("1. a", "item")]
+    for text in ("Er kam am\n1. Oktober an.", "It rose to\n7. That was\n9. high", "It was\n2. then\n\n3. x"):
+        assert parts(text)[0] == (text.split("\n\n")[0], "para")
