@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kelpline.functions.frames import pick, spread
+from kelpline.functions.frames import pick
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,7 +135,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
     """doc_id, ids (ARRAY<INT>, no special tokens) of every row, in a single pass.
 
     Null and empty texts give an empty list.  The strings of special tokens in a text
-    are ordinary text.  Repeated rows are encoded each; only small tables are shuffled (see spread).
+    are ordinary text.  Repeated rows are encoded each.  Nothing is shuffled.
     """
     path = path or vocabulary_path()
 
@@ -151,7 +151,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return spread(pick(documents, "doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

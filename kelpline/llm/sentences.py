@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.frames import pick, spread
+from kelpline.functions.frames import pick
 
 #: Rows the classifiers are fitted on, each with its whole text.
 SAMPLE = 4_000
@@ -482,7 +482,7 @@ def sentence_units(documents: DataFrame, splitter: Splitter | None = None) -> Da
     """doc_id, unit_start, unit_end (BIGINT, 0-based code points, end exclusive) of every row.
 
     Null, empty and blank texts give no rows.  Repeated rows give their units each.
-    Texts of any length are cut whole; only small tables are shuffled (see spread).
+    Texts of any length are cut whole.  Nothing is shuffled.
     """
     splitter = splitter or fit_splitter(documents)
     shared = documents.sparkSession.sparkContext.broadcast(splitter)
@@ -500,4 +500,4 @@ def sentence_units(documents: DataFrame, splitter: Splitter | None = None) -> Da
             columns = [pa.array(x, pa.int64()) for x in (docs, starts, ends)]
             yield pa.record_batch(columns, names=["doc_id", "unit_start", "unit_end"])
 
-    return spread(pick(documents, "doc_id", "text")).mapInArrow(run, "doc_id bigint, unit_start bigint, unit_end bigint")
+    return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id bigint, unit_start bigint, unit_end bigint")

@@ -49,13 +49,13 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 
 def test_lookup_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
-    tokens = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(30)]
-    index = c.Index(8).build(tokens, 3)
+    tokens = {k: rng.integers(0, 2**63, 40).astype(np.uint64) for k in range(30)}
+    index = c.Index(8, tokens, 3)
     near = index.prints.copy()
     for k in range(len(near)):
         for bit in random.Random(k).sample(range(64), k % 6):
             near[k] ^= np.uint64(1 << bit)
-    got = set(zip(*map(list, index.lookup(near, 3))))
+    got = set(zip(*map(list, index.lookup(near))))
     brute = {(i, j) for i in range(len(near)) for j in range(len(index.prints)) if int(near[i] ^ index.prints[j]).bit_count() <= 3}
     assert got == brute
 
@@ -88,3 +88,62 @@ def test_same_as_brute_force():
             if len(covered) * 4 >= len(w):
                 want.add(i)
         assert {r for _, r in m.found([" ".join(doc)])} == want
+
+
+def test_repeated_item_ids_give_the_same_in_any_blocks(spark, monkeypatch):
+    docs = [(1, ITEM + " " + ZH), (1, ITEM), (2, ZH)]
+    items = [(1, ITEM), (1, ITEM + " more"), (1, ZH), (2, ITEM), (3, ZH)]
+    whole = leaks(spark, docs, items)
+    monkeypatch.setattr(c, "BLOCK_ITEMS", 1)
+    assert leaks(spark, docs, items) == whole == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 3), (2, 1), (2, 3)]
+
+
+def test_windows_go_with_the_item():
+    assert [c.window_size(n, 8) for n in (8, 40, 71, 72, 96, 144, 192, 300, 10**6)] == [8, 8, 8, 12, 16, 24, 32, 48, 8192]
+
+
+def test_fingerprints_are_weighted_majorities_whatever_the_chunks(monkeypatch):
+    tokens = np.random.default_rng(2).integers(0, 2**63, 300).astype(np.uint64)
+    monkeypatch.setattr(c, "CHUNK", 64)
+    got = {8: [], 24: []}
+    for size, at, prints in c.fingerprints(tokens, [8, 24]):
+        assert at == sum(map(len, got[size]))
+        got[size].append(prints)
+    for size, parts in got.items():
+        bits = np.unpackbits(tokens.view(np.uint8).reshape(-1, 8), axis=1).astype(int) * 2 - 1
+        signed = bits * c.weights(tokens)[:, None]
+        brute = [np.packbits(signed[i : i + size].sum(axis=0) > 0) for i in range(300 - size + 1)]
+        assert (np.concatenate(parts).view(np.uint8).reshape(-1, 8) == np.array(brute)).all()
+
+
+def edited(words, every):
+    """Every so many-th word replaced: runs are one word shorter."""
+    return [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+def test_the_radius_finds_edited_passages_that_equal_fingerprints_do_not():
+    rng = random.Random(8)
+    items = [(k, " ".join(f"t{rng.randrange(10**6)}" for _ in range(200))) for k in range(40)]
+    none, near = c.Matcher.of(items, 0), c.Matcher.of(items, 3)
+    texts = [" ".join(edited(t.split(), 30)) for _, t in items]
+    some, more = set(none.found(texts)), set(near.found(texts))
+    assert some < more <= {(k, k) for k in range(40)} and len(some) < 10 and len(more) >= 36
+
+
+def test_similarity_decides_candidates():
+    a = np.arange(1, 41, dtype=np.uint64)
+    assert c.similarity(a, a) == 1 and c.similarity(a, a[::-1]) == 0
+    b = a.copy()
+    b[0] = 99
+    assert c.SIMILARITY < c.similarity(a, b) < 1
+    b[20] = 98
+    assert c.similarity(a, b) < c.SIMILARITY
+    assert c.similarity(a[:3], a[:3]) == 1
+
+
+def test_runs_are_counted_exactly():
+    item = np.arange(100, 160, dtype=np.uint64)
+    other = np.arange(7, dtype=np.uint64)
+    text = np.concatenate([other, item[:9], other, item[20:27], other, item[30:45], item[30:45]])
+    assert c.covered(item, text, 8) == 9 + 15
+    assert c.covered(item, item[:7], 8) == c.covered(item[:7], item, 8) == 0
