@@ -24,18 +24,3 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     plain = df.toDF(*[f"c{i}_" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{at[n]}_").alias(n) for n in names])
 
-
-#: Bytes of one row group of a usual Parquet file.
-ROW_GROUP = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """*df* dealt out to all cores if its files are too small for that.
-
-    A file is read one row group per task, so a table of fewer row groups than cores
-    leaves cores idle under costly Python code.  Such a table is small and is shuffled
-    once; a larger one is taken as it is.  Rows and results are the same either way.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(3 * cores) if size < cores * ROW_GROUP else df
