@@ -16,8 +16,11 @@ brackets, is a candidate boundary.  Two maximum-entropy classifiers judge it:
 The sum of both log odds decides.  No list of abbreviations is used: a token that
 never ends a block has a low P(boundary).
 
-Both are fitted at call time on a bounded sample of documents (about SAMPLE rows, those
-with the least hashes, whatever the size of the table); all rows are cut.
+Both are fitted on a bounded sample of documents (about SAMPLE rows, drawn by a threshold
+on a hash, each with its whole text); examples are counted where the texts are, and only
+the counts reach the driver.  All rows are cut, in one pass.  ``p9_found`` fits at call
+time; ``save`` and ``load`` keep a fitted model, so that a document gets the same units
+whatever the table it stands in.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import NamedTuple
@@ -33,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.frames import pick
@@ -41,6 +44,9 @@ from kelpline.functions.frames import pick
 #: Rows the classifiers are fitted on, each with its whole text.
 SAMPLE = 4_000
 
+#: Tasks that count the examples of the sample.
+FIT_TASKS = 8
+
 #: Quantile of P(end of block) among ends of blocks that stands for a sure sentence end.
 SHARE_QUANTILE = 0.15
 #: Log odds by which undecided candidates count as boundaries: tokens that end sentences and
@@ -398,25 +404,12 @@ class Splitter:
     known: dict = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, texts: list[str]) -> Splitter:
-        ends: Counter = Counter()
-        starts: Counter = Counter()
-        for text in texts:
-            for a, b, kind in blocks(text):
-                part = text[a:b]
-                if kind not in ("para", "item") or _is_data(part):
-                    continue
-                part = _strip_marker(part, kind)
-                for c in candidates(part)[0]:
-                    ends[c.left, int(c.final)] += 1
-                first = _NEXT.match(part)
-                around = _last_script(part)
-                starts[_right(first[1], first[2], around), 1] += 1
-                before = ""
-                for word in part.split():
-                    if before.isalpha():
-                        starts[_right("", word, around), 0] += 1
-                    before = word
+    def fit(cls, texts: Iterable[str]) -> Splitter:
+        return cls.of(*count_examples(texts))
+
+    @classmethod
+    def of(cls, ends: Counter, starts: Counter) -> Splitter:
+        """Fitted to counted examples."""
         ending, starting = MaxEnt().fit(ends), MaxEnt().fit(starts)
         # Per script, since the share of sentence ends that end a block differs with its paragraphs.
         final: dict[str, list[float]] = {}
@@ -428,6 +421,17 @@ class Splitter:
         yes, no = (sum(n for (_, y), n in starts.items() if y == k) for k in (1, 0))
         return cls(ending, starting, share, float(np.log((yes + 1) / (no + 1))))
 
+    def dumps(self) -> str:
+        """The fitted model as JSON; ``loads`` gives it back."""
+        return json.dumps({"ending": self.ending.weight, "starting": self.starting.weight, "share": self.share, "prior": self.prior}, ensure_ascii=False)
+
+    @classmethod
+    def loads(cls, text: str) -> Splitter:
+        kept = json.loads(text)
+        ending, starting = MaxEnt(), MaxEnt()
+        ending.weight, starting.weight = kept["ending"], kept["starting"]
+        return cls(ending, starting, kept["share"], kept["prior"])
+
     def ends(self, c: Candidate) -> bool:
         left = self.known.get(c.left)
         if left is None:
@@ -468,14 +472,62 @@ def _strip_marker(part: str, kind: str) -> str:
     return part[m.end() :] if m else part
 
 
+def count_examples(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each (features, label) stands in the blocks of *texts*, for either classifier."""
+    ends: Counter = Counter()
+    starts: Counter = Counter()
+    for text in texts:
+        for a, b, kind in blocks(text):
+            part = text[a:b]
+            if kind not in ("para", "item") or _is_data(part):
+                continue
+            part = _strip_marker(part, kind)
+            for c in candidates(part)[0]:
+                ends[c.left, int(c.final)] += 1
+            first = _NEXT.match(part)
+            around = _last_script(part)
+            starts[_right(first[1], first[2], around), 1] += 1
+            before = ""
+            for word in part.split():
+                if before.isalpha():
+                    starts[_right("", word, around), 0] += 1
+                before = word
+    return ends, starts
+
+
 def fit_splitter(documents: DataFrame) -> Splitter:
     """The classifiers, fitted on about SAMPLE rows of *documents* (the bound: twice as many),
-    drawn by a threshold on a hash; without any, boundaries rest on priors."""
-    docs = pick(documents, "doc_id", "text").where("text IS NOT NULL")
+    drawn by a threshold on a hash; without any, boundaries rest on priors.  The row count is that
+    of the table, which Parquet answers from its footers; null texts give no examples."""
+    docs = pick(documents, "doc_id", "text")
     share = SAMPLE / max(1, docs.count())
-    drawn = docs if share >= 1 else docs.where(F.xxhash64("doc_id", "text") < int((2 * share - 1) * 2**63))
-    rows = drawn.select("text").limit(2 * SAMPLE).collect()
-    return Splitter.fit([r.text for r in rows])
+    rank = F.xxhash64("doc_id", "text")
+    drawn = docs if share >= 1 else docs.where(rank < int((2 * share - 1) * 2**63))
+    # Repeated rows have one hash and may exceed the share: the least hashes keep the bound.
+    bounded = drawn.where("text IS NOT NULL").orderBy(rank).limit(2 * SAMPLE).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = count_examples(t.as_py() for t in batch.column("text"))
+            rows = [(side, y, list(f), n) for side, counted in enumerate(both) for (f, y), n in counted.items()]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            types = pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64()
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["side", "label", "features", "n"])
+
+    counted = bounded.repartition(FIT_TASKS).mapInArrow(count, "side int, label int, features array<string>, n bigint")
+    both: tuple[Counter, Counter] = Counter(), Counter()
+    for r in counted.groupBy("side", "label", "features").agg(F.sum("n").alias("n")).collect():
+        both[r.side][tuple(r.features), r.label] += r.n
+    return Splitter.of(*both)
+
+
+def save(spark: SparkSession, splitter: Splitter, folder: str) -> None:
+    """Keep a fitted model in *folder*, which may be on any file system Spark can write."""
+    spark.createDataFrame([(splitter.dumps(),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def load(spark: SparkSession, folder: str) -> Splitter:
+    return Splitter.loads(spark.read.text(folder, wholetext=True).where("value <> ''").first().value)
 
 
 def sentence_units(documents: DataFrame, splitter: Splitter | None = None) -> DataFrame:
