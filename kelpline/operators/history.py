@@ -9,7 +9,9 @@ on the same value.
 
 Values are compared by a 128-bit digest taken before the first shuffle, so wide
 values never travel.  An entity with any number of observations is spread over its
-(time range, word) groups; what crosses words is one row per word.
+time ranges (functions/skew.py): a range has at most one observation per second, that is
+RANGE_SECONDS, whatever the table.  Versions that begin and end inside a range are done
+there; across ranges only the first and the last run of each are compared.
 """
 
 from __future__ import annotations
@@ -83,40 +85,21 @@ def review_observations(review_decisions: DataFrame) -> DataFrame:
     return last.select(F.lit("review").alias("entity"), "machine_id", "plugin_id", "scope", "at", "seq", "value")
 
 
-def _run_starts(observed: Column) -> Column:
-    """Of a word (array of (at, value) in time order): (at, value, nth) of each run's
-    first snapshot, found through one presence bitmap per distinct value."""
-    values = F.transform(observed, lambda o: o["value"])
-    slots = F.sequence(F.lit(0), F.size(observed) - 1)
-
-    def bitmap(value: Column) -> Column:
-        return F.aggregate(
-            slots,
-            F.lit(0).cast("long"),
-            lambda bits, i: F.when(
-                F.get(values, i) == value, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-            ).otherwise(bits),
-        )
-
-    def starts(value: Column) -> Column:
-        bits = bitmap(value)
-        return bits.bitwiseAND(F.bitwise_not(F.shiftleft(bits, 1)))
-
-    begun = F.aggregate(
-        F.array_distinct(values), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(starts(v))
+def _runs(observed: DataFrame, group: list[str]) -> DataFrame:
+    """(*group*, at, value, opens) of rows (*group*, at, value), one per time: the starts of runs, found
+    through one presence bitmap per word and value.  ``opens`` is false for a run that begins a
+    word and may continue the run before it."""
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("at")) - 1
+    placed = observed.withColumn("n", nth).select(
+        *group, "at", "value", F.floor(F.col("n") / WORD).alias("word"), (F.col("n") % WORD).cast("int").alias("slot")
     )
-    return F.filter(
-        F.transform(
-            slots,
-            lambda i: F.struct(
-                F.get(observed, i)["at"].alias("at"),
-                F.get(observed, i)["value"].alias("value"),
-                i.alias("nth"),
-                F.call_function("getbit", begun, i).alias("first"),
-            ),
-        ),
-        lambda s: s["first"] == 1,
+    bitmaps = placed.groupBy(*group, "word", "value").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot"))).alias("bits"),
+        F.collect_list(F.struct("slot", "at")).alias("seen"),
     )
+    begun = F.col("bits").bitwiseAND(F.bitwise_not(F.shiftleft("bits", 1)))
+    first = F.filter("seen", lambda s: F.call_function("getbit", begun, s["slot"]) == 1)
+    return bitmaps.select(*group, "value", F.inline(first)).select(*group, "at", "value", (F.col("slot") > 0).alias("opens"))
 
 
 def validity_intervals(observations: DataFrame) -> DataFrame:
@@ -133,40 +116,37 @@ def validity_intervals(observations: DataFrame) -> DataFrame:
     )
     group = [*ENTITY, "part"]
     at_once = seen.repartition(*group).groupBy(*group, "at").agg(F.max(F.struct("seq", "value")).alias("held"))
-    nth = Window.partitionBy(*group).orderBy("at")
-    words = (
-        at_once.select(*group, "at", F.col("held.value").alias("value"), F.row_number().over(nth).alias("n"))
-        .groupBy(*group, F.floor((F.col("n") - 1) / WORD).alias("word"))
-        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("observed"))
+    runs = _runs(at_once.select(*group, "at", F.col("held.value").alias("value")), group)
+
+    # Inside a range: runs that continue the one before them go, and all but the last learn their end.
+    inside = Window.partitionBy(*group).orderBy("at")
+    before = runs.select(*group, "at", "value", "opens", F.lag("value").over(inside).alias("before"))
+    kept = before.where("opens OR before IS NULL OR value <> before")
+    ended = kept.select(
+        *group, "at", "value", F.lead("at").over(inside).alias("next_at"), (F.row_number().over(inside) == 1).alias("first")
     )
-    runs = words.select(
+    # Across ranges: the first and the last run of each meet; the others stay in groups of their own range.
+    meets = F.col("first") | F.col("next_at").isNull()
+    sorted_out = ended.select(
         *ENTITY,
-        F.get("observed", F.lit(0))["at"].alias("word_at"),
-        F.element_at("observed", -1)["value"].alias("last_value"),
-        _run_starts(F.col("observed")).alias("starts"),
+        F.when(~meets, F.col("part")).alias("part"),
+        "at",
+        F.when(meets, F.col("value")).alias("value"),
+        "next_at",
+        "first",
     )
-    along = Window.partitionBy(*ENTITY).orderBy("word_at")
-    linked = runs.withColumn("before", F.lag("last_value").over(along)).withColumn(
-        "starts",
-        F.filter(
-            "starts",
-            lambda s: (s["nth"] > 0) | F.col("before").isNull() | (s["value"] != F.col("before")),
-        ),
-    )
-    opening = linked.where(F.size("starts") > 0).select(
+    across = Window.partitionBy(*ENTITY, "part")
+    linked = sorted_out.withColumn("before", F.lag("value").over(across.orderBy("at")))
+    goes_on = F.col("first") & F.coalesce(F.col("value") == F.col("before"), F.lit(False))
+    # Where the next version after a range begins: at its first run, or where that ends if it only goes on.
+    marked = linked.select("*", goes_on.alias("goes_on"), F.when(goes_on, F.col("next_at")).otherwise(F.col("at")).alias("begins"))
+    later = across.orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    versions = marked.withColumn("following", F.last("begins", ignorenulls=True).over(later)).where("NOT goes_on")
+    return versions.select(
         *ENTITY,
-        "starts",
-        F.lead(F.get("starts", F.lit(0))["at"]).over(along).alias("next_at"),
-        "word_at",
-    )
-    ends = F.transform(
-        "starts",
-        lambda s, i: F.struct(
-            s["at"].alias("valid_from"),
-            F.coalesce(F.get(F.col("starts"), i + 1)["at"], F.col("next_at"), F.lit(-1).cast("long")).alias("valid_to"),
-        ),
+        F.col("at").alias("valid_from"),
+        F.coalesce("next_at", "following", F.lit(-1).cast("long")).alias("valid_to"),
     )
-    return opening.select(*ENTITY, F.inline(ends))
 
 
 def attribute_history(trust_records: DataFrame, review_decisions: DataFrame) -> DataFrame:
