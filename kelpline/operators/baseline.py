@@ -52,16 +52,23 @@ def compare_with_baseline(current: DataFrame, baseline: DataFrame, keys: list[st
 
 def changed_keys(old: DataFrame, new: DataFrame, keys: list[str], files: str) -> DataFrame:
     """keys, path of map entries that differ between the two sides; a missing entry differs
-    from any present one.  Only keys on both sides are compared, inside their joined row."""
+    from any present one, a null value only from values.  Only keys on both sides are compared,
+    inside their joined row; the entries are hashed, so the work is linear in them."""
     pairs = old.select(*keys, F.col(files).alias("a")).join(new.select(*keys, F.col(files).alias("b")), keys)
-    empty = F.create_map().cast("map<string,string>")
-    a, b = F.coalesce("a", empty), F.coalesce("b", empty)
-    paths = F.array_distinct(F.concat(F.map_keys(a), F.map_keys(b)))
-    differs = F.filter(
-        paths,
-        lambda p: ~(F.element_at(a, p).eqNullSafe(F.element_at(b, p))) | (F.map_contains_key(a, p) != F.map_contains_key(b, p)),
+    # One text per entry: whether there is a value, the length of the path, the path and the value.
+    told = lambda e: F.concat(
+        F.when(e["value"].isNull(), "-").otherwise("+"), F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.coalesce(e["value"], F.lit(""))
     )
-    return pairs.select(*keys, F.explode(F.array_sort(differs)).alias("path"))
+    entries = lambda c: F.coalesce(F.transform(F.map_entries(c), told), F.array().cast("array<string>"))
+    both = pairs.select(*keys, entries("a").alias("a"), entries("b").alias("b"))
+    differs = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+
+    def path(entry: Column) -> Column:
+        colon = F.instr(entry, ":")
+        size = F.substring(entry, F.lit(2), colon - 2).cast("int")
+        return F.substring(entry, colon + 1, size)
+
+    return both.select(*keys, F.explode(F.sort_array(F.array_distinct(F.transform(differs, path)))).alias("path"))
 
 
 def absent(known: DataFrame, present: DataFrame, keys: list[str], *except_for: DataFrame) -> DataFrame:
