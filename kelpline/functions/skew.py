@@ -22,25 +22,21 @@ def running_sums(df: DataFrame, keys: list[str], part: str, order: list[Column],
     """*df* with each of *sums* replaced by its running total within *keys*, in the
     order (*part*, *order*), the row itself included.
 
-    *part* must not decrease along *order*.  Rows of one (keys, part) meet in one
-    task; across parts only their totals do.  Null keys form one group.
+    *part* must not be null and must not decrease along *order*.  Rows of one (keys, part) meet
+    in one task, so the caller sees to it that they are bounded (rows folded to one per time of a
+    time range are); across parts only their totals do.  Null keys form one group.
     """
-    inside = (
-        Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = df.select(
-        *[c for c in df.columns if c not in sums], *[F.sum(c).over(inside).alias(c) for c in sums]
-    )
-    totals = df.groupBy(*keys, part).agg(*[F.sum(c).alias(c) for c in sums])
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    names = {k: f"{k}_carried" for k in [*keys, part]}
-    carried = totals.select(
-        *[F.col(k).alias(n) for k, n in names.items()],
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_carried") for c in sums],
-    )
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = local.join(carried, on=same, how="inner")
-    return joined.select(
-        *[c for c in local.columns if c not in sums],
-        *[(F.col(c) + F.col(f"{c}_carried")).alias(c) for c in sums],
-    )
+    # Keys without nulls join as they are partitioned; null-safe ones would be shuffled again.
+    types = dict(df.dtypes)
+    solid = {f"{k}_solid": F.coalesce(k, F.lit("" if types[k] == "string" else 0).cast(types[k])) for k in keys}
+    solid |= {f"{k}_null": F.col(k).isNull() for k in keys}
+    groups = [*solid, part]
+    rows = df.withColumns(solid).repartition(*groups)
+    inside = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rest = [c for c in df.columns if c not in sums]
+    local = rows.select(*rest, *solid, *[F.sum(c).over(inside).alias(c) for c in sums])
+    totals = rows.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.partitionBy(*solid).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*groups, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_carried") for c in sums])
+    joined = local.join(carried, groups)
+    return joined.select(*rest, *[(F.col(c) + F.col(f"{c}_carried")).alias(c) for c in sums])

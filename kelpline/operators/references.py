@@ -1,23 +1,26 @@
 """References to records that do not exist (problem 4).
 
-*Direct* orphans name a parent that was not there at the time of the reference.
-They are found by a sweep: installations become +1/-1 events, references become
-probes, and a running sum per parent key tells at each probe how many installations
-are open, had begun, or exist at all.  No join of references with intervals takes
-place, so a parent key with very many rows on both sides stays linear, and the sum
-is carried across time ranges (functions/skew.py), so it is not one task's work.
-
-*Inherited* orphans are found by a fixpoint cascade: children of orphaned records,
-along the edges of a foreign-key graph, are orphaned too.  Each round semi-joins the
-children of the last round's new orphans; it ends when a round adds none.
+All referring rows are written once as a table of references.  A fixpoint cascade runs over
+it: round 0 are the *direct* orphans, references whose parent was not there at the time of
+the reference; every further round semi-joins the children, along the edges of a
+foreign-key graph, of the orphans that the round before found, until a round adds none.
+Those are the *inherited* orphans.
+
+Round 0 is a sweep: installations become +1/-1 events, references probes, both folded
+to one row per parent key and time, and a running sum per parent key tells at each probe how
+many installations are open, had begun, or exist at all.  No join of references with intervals takes
+place, so a parent key with very many rows on both sides stays linear.  The sum is
+carried across time ranges (functions/skew.py); folded, a range of a key has one row per second at most,
+so no task's work grows with a hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.functions.frames import pick
@@ -34,8 +37,8 @@ BEGINNING = -(1 << 62)
 
 def references(trust_records: DataFrame, review_decisions: DataFrame, trust_histories: DataFrame) -> DataFrame:
     """REFERENCE rows of the three referring tables, last delivery of each row only.
-    Null plugin ids and unreadable times are left out; a null machine_id is a value
-    that no installation has."""
+    Null plugin ids and unreadable times are left out; a null machine_id is a machine of its
+    own, that of the installations without one."""
 
     def flat(df: DataFrame, table: str, key: str, time: str) -> DataFrame:
         narrow = pick(df, key, "machine_id", "plugin_id", time, "ingested_at").withColumn(
@@ -85,28 +88,28 @@ def direct_orphans(refs: DataFrame, installed: DataFrame) -> DataFrame:
     )
     events = rows.select(
         *KEYS,
-        F.explode(
-            F.array(
-                event(F.lit(BEGINNING).cast("long"), 0, 0, 1),
-                F.when(start.isNotNull(), event(start, F.when(empty, 0).otherwise(1), 1, 0)),
-                F.when(start.isNotNull() & end.isNotNull() & ~empty, event(end, -1, 0, 0)),
+        F.lit(0).alias("probe"),
+        F.inline(
+            F.filter(
+                F.array(
+                    event(F.lit(BEGINNING).cast("long"), 0, 0, 1),
+                    F.when(start.isNotNull(), event(start, F.when(empty, 0).otherwise(1), 1, 0)),
+                    F.when(start.isNotNull() & end.isNotNull() & ~empty, event(end, -1, 0, 0)),
+                ),
+                lambda e: e.isNotNull(),
             )
-        ).alias("e"),
-    ).where("e IS NOT NULL")
-    # Fold the events of one instant before they travel: a key's events are as many as its distinct times.
-    folded = events.groupBy(*KEYS, F.col("e.at").alias("at")).agg(
-        *[F.sum(f"e.{c}").alias(c) for c in ("opened", "begun", "exists")]
+        ),
     )
-    zero = [F.lit(0).cast("long").alias(c) for c in ("opened", "begun", "exists")]
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ref_table", "string"), ("ref_id", "long"), ("ref_pos", "long"))]
-    swept = refs.select(*REFERENCE, F.lit(1).alias("probe"), *zero).unionByName(
-        folded.select(*none, *KEYS, "at", F.lit(0).alias("probe"), "opened", "begun", "exists")
-    )
-    parts = swept.withColumn("part", F.when(F.col("at") == BEGINNING, F.lit(BEGINNING)).otherwise(time_range(F.col("at"))))
-    order: list[Column] = [F.col("at"), F.col("probe")]
-    sums = running_sums(parts, KEYS, "part", order, ["opened", "begun", "exists"])
+    counted = ("opened", "begun", "exists")
+    probes = refs.select(*KEYS, F.lit(1).alias("probe"), "at", *[F.lit(0).cast("long").alias(c) for c in counted])
+    part = F.when(F.col("at") == BEGINNING, F.lit(BEGINNING)).otherwise(time_range(F.col("at")))
+    folded = probes.unionByName(events).groupBy(*KEYS, "at").agg(F.max("probe").alias("probe"), *[F.sum(c).alias(c) for c in counted])
+    sums = running_sums(folded.withColumn("part", part), KEYS, "part", [F.col("at")], list(counted))
     reason = F.when(F.col("exists") == 0, "missing").when(F.col("begun") == 0, "late").otherwise("deleted")
-    return sums.where("probe = 1 AND opened <= 0").select(*REFERENCE, reason.alias("orphan_reason"))
+    # The times of a key at which it is not there: few, so the references are joined with these alone.
+    gone = sums.where("probe = 1 AND opened <= 0").select(*[F.col(c).alias(f"gone_{c}") for c in (*KEYS, "at")], reason.alias("orphan_reason"))
+    same = [F.col(c).eqNullSafe(F.col(f"gone_{c}")) if c == "machine_id" else F.col(c) == F.col(f"gone_{c}") for c in (*KEYS, "at")]
+    return refs.join(gone, same).select(*REFERENCE, "orphan_reason")
 
 
 @dataclass(frozen=True)
@@ -126,28 +129,26 @@ def orphan_cascade(
     *rows* holds all records (ids and join columns), *direct* the orphans among them.
     Round n finds the children, along *edges*, of the orphans new in round n - 1
     that are not orphans yet.  Orphan sets are written to the shared folder between
-    rounds, so lineage does not grow.  Without edges the cascade is at its fixpoint
-    at once and nothing is written.  Cycles end, since no row is added twice.
+    rounds, so lineage does not grow.  It ends when a round adds nothing, or when no
+    edge leads on from the tables it could add to.  Cycles end, since no row is added twice.
     """
-    found = direct.withColumn("depth", F.lit(0))
-    if not edges:
-        return found
-    found = cut_lineage(found)
-    fresh, depth = found, 0
-    while True:
+    found = cut_lineage(direct.withColumn("depth", F.lit(0)))
+    fresh, depth, tables = found, 0, {e.parent for e in edges}
+    while leading := [e for e in edges if e.parent in tables]:
         depth += 1
         hits = []
-        for e in edges:
+        for e in leading:
             parents = fresh.where(F.col("ref_table") == e.parent).select(*e.on).distinct()
             hits.append(rows.where(F.col("ref_table") == e.child).join(parents, list(e.on), "left_semi").select(*rows.columns))
-        new = hits[0]
-        for h in hits[1:]:
-            new = new.unionByName(h)
-        new = new.dropDuplicates(list(ids)).join(found.select(*ids), list(ids), "left_anti")
+        new = reduce(DataFrame.unionByName, hits)
+        if len({e.child for e in leading}) < len(leading):
+            new = new.dropDuplicates(list(ids))
+        new = new.join(found.select(*ids), list(ids), "left_anti")
         new = cut_lineage(new.withColumn("orphan_reason", F.lit("inherited")).withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            return found
-        found, fresh = found.unionByName(new), new
+            break
+        found, fresh, tables = found.unionByName(new), new, {e.child for e in leading}
+    return found
 
 
 def orphan_references(
@@ -158,6 +159,6 @@ def orphan_references(
     edges: Sequence[Edge] = (),
 ) -> DataFrame:
     """ref_table, ref_id, ref_pos, orphan_reason, ref_month, depth (0: direct)."""
-    refs = references(trust_records, review_decisions, trust_histories)
+    refs = cut_lineage(references(trust_records, review_decisions, trust_histories))
     found = orphan_cascade(refs, direct_orphans(refs, installed), edges)
     return found.select("ref_table", "ref_id", "ref_pos", "orphan_reason", utc_month(F.col("at")).alias("ref_month"), "depth")

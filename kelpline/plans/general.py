@@ -30,14 +30,6 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return compare.identity_differences(t("identities_local"), t("identities_mirror"))
 
 
-def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    t = reader(spark, directory)
-    found = references.orphan_references(
-        t("trust_records"), t("review_decisions"), t("trust_histories"), t("installed_plugins")
-    )
-    return found.where("depth = 0").drop("depth")
-
-
 #: Decisions and revocations are about a plugin's baseline: if that is orphaned, so are they.
 CASCADE = (
     references.Edge("review_decisions", "trust_records", ("machine_id", "plugin_id")),
@@ -45,13 +37,21 @@ CASCADE = (
 )
 
 
-def p4_cascade(spark: SparkSession, directory: str) -> DataFrame:
-    """Orphans per table, reason, month and depth of inheritance."""
+def _cascade(spark: SparkSession, directory: str) -> DataFrame:
     t = reader(spark, directory)
-    found = references.orphan_references(
+    return references.orphan_references(
         t("trust_records"), t("review_decisions"), t("trust_histories"), t("installed_plugins"), CASCADE
     )
-    return found.groupBy("ref_table", "orphan_reason", "ref_month", F.col("depth").cast("long").alias("depth")).agg(
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The direct orphans, as the cascade reports them (depth 0) beside the inherited ones."""
+    return _cascade(spark, directory).where("depth = 0").drop("depth")
+
+
+def p4_cascade(spark: SparkSession, directory: str) -> DataFrame:
+    """Orphans per table, reason, month and depth of inheritance."""
+    return _cascade(spark, directory).groupBy("ref_table", "orphan_reason", "ref_month", F.col("depth").cast("long").alias("depth")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
