@@ -3,8 +3,8 @@
 Rescue-column ingestion.  Every entry of every file is forced into one target
 schema; a field that is unknown, or whose JSON type does not fit its column, is
 kept in the ``_rescued`` column as JSON.  ``promote`` replays rescued values of
-approved fields into typed columns.  Changes between files are derived from what
-ingestion produced: a file's fields and types are its non-null typed columns plus
+approved fields into typed columns.  Changes between files are read off the ingested and
+promoted table: a file's fields and types are its non-null typed columns plus
 its rescued keys.
 """
 
@@ -109,27 +109,30 @@ def _routed(files: DataFrame, target: tuple[str, ...]) -> DataFrame:
     return fitted.select(*FILE, F.col("pos").cast("long").alias("pos"), *target, rest.alias("rest"))
 
 
-def ingest(files: DataFrame, target: tuple[str, ...] = TARGET) -> DataFrame:
+def ingest(files: DataFrame, target: tuple[str, ...] = TARGET, empty_files: bool = False) -> DataFrame:
     """FILE, pos, one text column per *target* field, ``_rescued`` (JSON object or null).
 
     A target field holds the value if it is a JSON string; a non-null value of
     another type is rescued, as is every non-null unknown field.  Field names are
     exact: one that differs in case is unknown.  List elements that are no objects
-    give no rows.
+    give no rows.  With *empty_files* a file without objects has one row without pos and values.
     """
-    routed = _routed(files, target).where("pos IS NOT NULL")
-    return routed.select(
-        *FILE, "pos", *target, F.when(F.size("rest") > 0, F.to_json("rest")).alias(RESCUED)
-    )
+    routed = _routed(files, target)
+    rows = routed if empty_files else routed.where("pos IS NOT NULL")
+    return rows.select(*FILE, "pos", *target, F.when(F.size("rest") > 0, F.to_json("rest")).alias(RESCUED))
 
 
-def promote(ingested: DataFrame, approved: Mapping[str, str], renamed: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+def promote(
+    ingested: DataFrame, approved: Mapping[str, str], renamed: Mapping[str, tuple[str, ...]] | None = None, exact: bool = False
+) -> DataFrame:
     """Replay rescued values of *approved* fields (name -> SQL type) into typed columns.
 
     A field's value is looked for in its own column (if *ingested* has one), then among
     the rescued values under its name, then under the names of *renamed* (name -> other
     names, in order); the first scalar that casts counts.  It leaves ``_rescued`` if the cast
-    keeps its text; all else stays rescued, and what the cast changes (true as 1) too.
+    keeps its text; all else stays rescued, and what the cast changes (true as 1) too.  With
+    *exact* a text counts for text columns only, a number for the others, and only if the cast
+    keeps its text, so that a column tells the JSON type of what it holds.
     """
     as_map = F.try_variant_get(F.try_parse_json(F.col(RESCUED)), "$", "map<string,variant>")
     opened = ingested.withColumn("rescued_map", as_map)
@@ -138,7 +141,13 @@ def promote(ingested: DataFrame, approved: Mapping[str, str], renamed: Mapping[s
         own = [F.when(F.col(n).isNotNull(), F.struct(F.lit(None).cast("string").alias("key"), F.col(n).alias("value")))] if n in ingested.columns else []
         names = (n, *(renamed or {}).get(n, ()))
         found = [(k, F.element_at("rescued_map", F.lit(k))) for k in names]
-        replayed = [(k, F.when(~symbol(v).isin("array", "object"), F.try_variant_get(v, "$", t))) for k, v in found]
+        if exact:
+            fits = lambda v: (symbol(v) == ("text" if t == "string" else "number")) & (
+                F.try_variant_get(v, "$", "string") == F.try_variant_get(v, "$", t).cast("string")
+            )
+        else:
+            fits = lambda v: ~symbol(v).isin("array", "object")
+        replayed = [(k, F.when(fits(v), F.try_variant_get(v, "$", t))) for k, v in found]
         return F.coalesce(*own, *[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in replayed])
 
     picked = opened.select("*", *[chosen(n, t).alias(f"{n}_from") for n, t in approved.items()])
@@ -156,38 +165,48 @@ def promote(ingested: DataFrame, approved: Mapping[str, str], renamed: Mapping[s
     return picked.select(*typed, F.when(F.size(rest) > 0, F.to_json(rest)).alias(RESCUED))
 
 
-def observed_fields(routed: DataFrame, target: tuple[str, ...] = TARGET) -> DataFrame:
-    """FILE, id, pos, fields: of each ingested row its non-null fields, from typed columns
-    and rescued values, as (field, JSON type, 64-bit digest of the canonical JSON text:
+#: JSON types, each a bit of the set of types that a field has in a file.
+TYPES = ("string", "number", "boolean", "array", "object")
+
+
+def observed_fields(table: DataFrame) -> DataFrame:
+    """FILE, pos, id, fields: of each row of an ingested table its non-null fields, from typed columns
+    and rescued values, as (field, bit of its JSON type, 64-bit digest of the canonical JSON text:
     object keys in order, numbers without trailing zeros).  Digests are only compared
     within one entry of a pair of files."""
-    typed = F.filter(
-        F.array(*[F.when(F.col(t).isNotNull(), _observed(F.lit(t), F.lit("string"), F.to_json(F.array(t)))) for t in target]),
-        lambda s: s.isNotNull(),
-    )
-    entries = F.transform(
-        F.map_entries("rest"),
-        lambda e: F.struct(e["key"].alias("field"), symbol(e["value"]).alias("type"), F.to_json(e["value"]).alias("json")),
-    )
-    narrow = routed.select(*FILE, "id", "pos", typed.alias("typed"), entries.alias("entries"))
+    columns = {n: t for n, t in table.dtypes if n not in (*FILE, "pos", RESCUED)}
+
+    def typed(name: str, kind: str) -> Column:
+        text = F.to_json(F.array(name)) if kind == "string" else F.concat(F.lit("["), F.col(name).cast("string"), F.lit("]"))
+        return F.when(F.col(name).isNotNull(), _observed(F.lit(name), "string" if kind == "string" else "number", text))
+
+    own = F.filter(F.array(*[typed(n, t) for n, t in columns.items()]), lambda s: s.isNotNull())
+    opened = table.select(*FILE, "pos", "id", own.alias("own"), F.try_variant_get(F.try_parse_json(RESCUED), "$", "map<string,variant>").alias("rest"))
     rescued = F.transform(
-        "entries",
-        lambda e: _observed(
-            e["field"],
-            F.when(e["type"] == "text", "string").otherwise(e["type"]),
-            F.concat(F.lit("["), e["json"], F.lit("]")),
+        F.transform(
+            F.map_entries("rest"),
+            lambda e: F.struct(e["key"].alias("field"), symbol(e["value"]).alias("type"), F.concat(F.lit("["), F.to_json(e["value"]), F.lit("]")).alias("json")),
         ),
+        lambda e: _observed(e["field"], F.when(e["type"] == "text", "string").otherwise(e["type"]), e["json"]),
     )
-    return narrow.select(
-        *FILE, "id", "pos", F.concat("typed", F.coalesce(rescued, F.array().cast(OBSERVED))).alias("fields")
-    )
+    return opened.select(*FILE, "pos", "id", F.concat("own", F.coalesce(rescued, F.array().cast(OBSERVED))).alias("fields"))
+
 
+OBSERVED = "array<struct<field:string,type:int,value:bigint>>"
 
-OBSERVED = "array<struct<field:string,type:string,value:bigint>>"
 
+def _observed(field: Column, kind: Column | str, value: Column) -> Column:
+    bits = {t: 1 << i for i, t in enumerate(TYPES)}
+    if isinstance(kind, str):
+        bit = F.lit(bits[kind])
+    else:
+        bit = F.element_at(F.create_map(*[F.lit(x) for pair in bits.items() for x in pair]), kind)
+    return F.struct(field.alias("field"), bit.alias("type"), F.xxhash64(value).alias("value"))
 
-def _observed(field: Column, kind: Column, value: Column) -> Column:
-    return F.struct(field.alias("field"), kind.alias("type"), F.xxhash64(value).alias("value"))
+
+#: Fields promoted out of ``_rescued`` before changes are read off.
+PROMOTED = {"stars": "bigint", "license": "string"}
+PAIR = ["registry_id", "pair"]
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -199,109 +218,78 @@ def schema_changes(files: DataFrame) -> DataFrame:
     part) that are in both files and held the old one, of which there must be one.  Every
     such pair is a row, also if a field is in several.  Other gone or new fields: 'removed',
     'added'; 'retyped': the set of types differs.  Field names are exact.
-    """
-    # Parsed once: the table written holds names, types and digests, no values.
-    seen = cut_lineage(observed_fields(_routed(files, TARGET)))
-    known = files_in_order(seen)
 
-    # Which fields each file has; then each file as the new one of its pair and the old one of the next.
-    types = seen.select(*FILE, F.explode("fields").alias("f")).groupBy(*FILE, F.col("f.field").alias("field")).agg(
-        F.array_sort(F.collect_set("f.type")).alias("types")
-    )
-    sided = both_sides(types, known)
-    compared = sided.groupBy("registry_id", "pair", "field").agg(
-        F.max(F.when(F.col("side") == "old", F.col("types"))).alias("old_types"),
-        F.max(F.when(F.col("side") == "new", F.col("types"))).alias("new_types"),
-    )
-    changed = compared.where("NOT old_types <=> new_types")
-
-    # Values of gone and new fields only, first listed entry of each id.
-    moved = (
-        changed.where("old_types IS NULL OR new_types IS NULL")
-        .groupBy("registry_id", "pair")
-        .agg(
-            F.collect_set(F.when(F.col("new_types").isNull(), F.col("field"))).alias("gone"),
-            F.collect_set(F.when(F.col("old_types").isNull(), F.col("field"))).alias("fresh"),
-        )
-        .where("size(gone) > 0 AND size(fresh) > 0")
-    )
-    # Per file what its pairs ask of it, so that the entries are joined once and narrowed at once.
-    neighbours = known.select("registry_id", F.col("file_seq").alias("pair"), "prior_seq")
-    asked = moved.join(neighbours, ["registry_id", "pair"]).select(
-        "registry_id",
-        "pair",
+    The ingested table is written once, the changed fields of each pair of files too.
+    """
+    table = promote(ingest(files, empty_files=True), PROMOTED, exact=True)
+    seen = observed_fields(cut_lineage(table))
+    pairs = cut_lineage(changed_fields(seen))
+
+    # What each file must show for its pairs, so that the entries are joined once and narrowed at once.
+    names = lambda test: F.transform(F.filter("changes", test), lambda c: c["field"])
+    gone, fresh = names(lambda c: c["new_types"].isNull()), names(lambda c: c["old_types"].isNull())
+    asked = pairs.select(*PAIR, "prior", gone.alias("gone"), fresh.alias("fresh")).where("size(gone) > 0 AND size(fresh) > 0")
+    wanted = asked.select(
+        *PAIR,
         F.inline(
             F.array(
-                F.struct(F.col("prior_seq").alias("file_seq"), F.lit("old").alias("side"), F.col("gone").alias("wanted")),
+                F.struct(F.col("prior").alias("file_seq"), F.lit("old").alias("side"), F.col("gone").alias("wanted")),
                 F.struct(F.col("pair").alias("file_seq"), F.lit("new").alias("side"), F.col("fresh").alias("wanted")),
             )
         ),
     )
-    narrow = (
-        seen.where("id IS NOT NULL")
-        .join(asked, FILE)
-        .select(
-            "registry_id",
-            "pair",
-            "id",
-            "side",
-            "pos",
-            F.transform(
-                F.filter("fields", lambda f: F.array_contains("wanted", f["field"])),
-                lambda f: F.struct(f["field"].alias("field"), f["value"].alias("value")),
-            ).alias("values"),
-        )
+    values = F.transform(
+        F.filter("fields", lambda f: F.array_contains("wanted", f["field"])),
+        lambda f: F.struct(f["field"].alias("field"), f["value"].alias("value")),
     )
+    entries = seen.where("id IS NOT NULL").join(wanted, FILE).select(*PAIR, "id", "side", "pos", values.alias("values"))
     first = lambda side: F.min(F.when(F.col("side") == side, F.struct("pos", "values")))
-    paired = (
-        narrow.groupBy("registry_id", "pair", "id")
-        .agg(first("old").alias("old"), first("new").alias("new"))
-        .where("old IS NOT NULL AND new IS NOT NULL")
-    )
-    held = paired.select("registry_id", "pair", F.explode("old.values").alias("o"), F.col("new.values").alias("news"))
+    both = entries.groupBy(*PAIR, "id").agg(first("old").alias("old"), first("new").alias("new")).where("old IS NOT NULL AND new IS NOT NULL")
+
+    # One vote per entry for each new field that has the value of a gone one, and one without a name for the total.
+    held = both.select(*PAIR, F.explode("old.values").alias("o"), F.col("new.values").alias("news"))
     equal = F.filter("news", lambda n: n["value"] == F.col("o.value"))
     votes = held.select(
-        "registry_id",
-        "pair",
+        *PAIR,
         F.col("o.field").alias("gone"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")), F.transform(equal, lambda n: n["field"]))).alias("fresh"),
     )
-    counted = votes.groupBy("registry_id", "pair", "gone", "fresh").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.where("fresh IS NULL").select("registry_id", "pair", "gone", F.col("n").alias("total"))
-    renames = (
-        counted.where("fresh IS NOT NULL")
-        .join(totals, ["registry_id", "pair", "gone"])
-        .where(F.col("n") * RENAME_SHARE[1] >= F.col("total") * RENAME_SHARE[0])
-        .select("registry_id", "pair", "gone", "fresh")
-    )
-    renamed = renames.select(
-        "registry_id", "pair", F.col("fresh").alias("field"), F.lit("renamed").alias("change_kind"), F.col("gone").alias("old_field_name")
-    )
-    used = renames.select("registry_id", "pair", F.explode(F.array("gone", "fresh")).alias("field"))
-    kind = F.when(F.col("new_types").isNull(), "removed").when(F.col("old_types").isNull(), "added").otherwise("retyped")
-    plain = changed.join(used, ["registry_id", "pair", "field"], "left_anti").select(
-        "registry_id", "pair", "field", kind.alias("change_kind"), F.lit("").alias("old_field_name")
-    )
-    return renamed.unionByName(plain).select(
-        "registry_id", F.col("pair").alias("file_seq"), F.col("field").alias("field_name"), "change_kind", "old_field_name"
-    )
-
-
-def files_in_order(seen: DataFrame) -> DataFrame:
-    """FILE, next_seq, prior_seq: the readable files with their neighbours."""
+    counted = votes.groupBy(*PAIR, "gone", "fresh").agg(F.count(F.lit(1)).alias("n"))
+    listed = counted.groupBy(*PAIR).agg(F.collect_list(F.struct("gone", "fresh", "n")).alias("votes"))
+
+    def total(gone: Column) -> Column:
+        return F.get(F.filter("votes", lambda v: v["fresh"].isNull() & (v["gone"] == gone)), F.lit(0))["n"]
+
+    enough = lambda v: v["fresh"].isNotNull() & (v["n"] * RENAME_SHARE[1] >= total(v["gone"]) * RENAME_SHARE[0])
+    renames = listed.select(*PAIR, F.filter("votes", enough).alias("renames")).where("size(renames) > 0")
+
+    change = lambda name, kind, old: F.struct(name.alias("field_name"), kind.alias("change_kind"), old.alias("old_field_name"))
+    renamed = F.transform("renames", lambda r: change(r["fresh"], F.lit("renamed"), r["gone"]))
+    used = F.concat(F.transform("renames", lambda r: r["gone"]), F.transform("renames", lambda r: r["fresh"]))
+    kind = lambda c: F.when(c["new_types"].isNull(), "removed").when(c["old_types"].isNull(), "added").otherwise("retyped")
+    rest = F.filter("changes", lambda c: ~F.coalesce(F.array_contains("used", c["field"]), F.lit(False)))
+    joined = pairs.join(renames, PAIR, "left").select(*PAIR, "changes", "renames", used.alias("used"))
+    none = F.array().cast("array<struct<field_name:string,change_kind:string,old_field_name:string>>")
+    rows = F.concat(F.coalesce(renamed, none), F.transform(rest, lambda c: change(c["field"], kind(c), F.lit(""))))
+    return joined.select("registry_id", F.col("pair").alias("file_seq"), F.inline(rows))
+
+
+def changed_fields(seen: DataFrame) -> DataFrame:
+    """PAIR (pair: file_seq of the newer file), prior, changes: per readable file and the one before it
+    the fields whose set of types differs, as (field, old_types, new_types), null where a file has none."""
+    types = seen.select(*FILE, F.explode("fields").alias("f")).groupBy(*FILE, F.col("f.field").alias("field")).agg(F.bit_or("f.type").alias("types"))
     along = Window.partitionBy("registry_id").orderBy("file_seq")
-    return seen.select(*FILE).distinct().select(
+    known = seen.select(*FILE).distinct().select(
         *FILE, F.lead("file_seq").over(along).alias("next_seq"), F.lag("file_seq").over(along).alias("prior_seq")
     )
-
-
-def both_sides(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """*rows* with registry_id, pair (seq of the newer file) and side ('old', 'new'):
-    each row once for each pair its file takes part in."""
-    sides = F.array(
-        F.when(F.col("prior_seq").isNotNull(), F.struct(F.col("file_seq").alias("pair"), F.lit("new").alias("side"))),
-        F.when(F.col("next_seq").isNotNull(), F.struct(F.col("next_seq").alias("pair"), F.lit("old").alias("side"))),
+    # A file is the new one of its pair and the old one of the next.
+    side = lambda pair, prior, old, new: F.when(
+        F.col(pair).isNotNull() & F.col(prior).isNotNull(),
+        F.struct(F.col(pair).alias("pair"), F.col(prior).alias("prior"), old.alias("old_types"), new.alias("new_types")),
     )
-    rest = [c for c in rows.columns if c not in FILE]
-    joined = rows.join(known, FILE)
-    return joined.select("registry_id", *rest, F.inline(F.filter(sides, lambda s: s.isNotNull())))
+    here, none = F.col("types"), F.lit(None).cast("int")
+    roles = F.filter(F.array(side("file_seq", "prior_seq", none, here), side("next_seq", "file_seq", here, none)), lambda r: r.isNotNull())
+    sided = types.join(known, FILE).select("registry_id", "field", F.inline(roles))
+    compared = sided.repartition(*PAIR).groupBy(*PAIR, "prior", "field").agg(F.max("old_types").alias("old_types"), F.max("new_types").alias("new_types"))
+    changed = compared.where("NOT old_types <=> new_types")
+    return changed.groupBy(*PAIR, "prior").agg(F.collect_list(F.struct("field", "old_types", "new_types")).alias("changes"))
