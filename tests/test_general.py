@@ -5,6 +5,8 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from kelpline.functions import skew, times
 from kelpline.operators import compare, history, references, schema_drift, snapshots, structural
@@ -93,6 +95,21 @@ def test_subtype_tables_hold_the_same_rows(spark):
     assert [r.plugin_shape for r in tables["plugins"].collect()] == ["complete", "complete"]
 
 
+def test_lists_of_mixed_elements_are_routed_by_their_states(spark):
+    files = [{"path": "a", "digest": "1"}, {"path": "a", "digest": "2"}, {"path": 5}, {"path": ["no"]}, {"path": {"no": 1}}, {"path": None}, {"digest": "3"}, "text", 7, None, ["x"]]
+    limits = ["t", {"code": "c"}, {"code": None}, {"code": ["no"]}, {}, None, 7, True, ["x"], "t", {"code": "t"}]
+    payload = json.dumps({"plugins": [{"id": "p", "file_digests": files, "limitations": limits}, {"id": "q", "limitations": {"code": "one"}}, {"file_digests": 5, "limitations": False}]})
+    data = spark.createDataFrame([(1, T0, payload, "")], REPORT)
+    tables = structural.subtype_tables(data)
+    assert rows(tables["files_path_list"].select("path", "digest")) == sorted([("a", "1"), ("a", "2"), ("5", None)], key=repr)
+    assert rows(tables["limits_list"].select("plugin_pos", "plugin_id", "limitation")) == [(0, "p", "c"), (0, "p", "t"), (0, "p", "t"), (0, "p", "t")]
+    assert rows(tables["limits_single"].select("plugin_id", "plugin_shape", "limitation")) == [("q", "limits_only", "one")]
+    union = {(r.report_id, r.plugin_pos, structural.SUBTYPES[name], r[3 if name == "plugins" else 4] if name != "plugins" else r.plugin_id) for name, t in tables.items() for r in t.collect()}
+    assert set(rows(structural.flatten_reports(data))) == union and len(rows(structural.flatten_reports(data))) == len(union)
+    plan = structural.flatten_reports(data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+
+
 # ------------------------------------------------------------------ 2
 
 
@@ -127,6 +144,19 @@ def test_history_like_plain_python(spark, seed):
     assert rows(history.validity_intervals(spark.createDataFrame([], schema))) == []
 
 
+def test_history_of_a_hot_entity(spark):
+    """A million changes of one entity, a value that holds across whole ranges, and one that comes back at a range's start."""
+    n, width = 1_000_000, skew.RANGE_SECONDS
+    hot = spark.range(n).selectExpr("'e' AS entity", "1L AS machine_id", "'hot' AS plugin_id", "'s' AS scope", "id * 40 AS at", "id AS seq", "encode(CAST(id DIV 3 % 2 AS STRING), 'UTF-8') AS value")
+    got = history.validity_intervals(hot)
+    ends = F.lead("valid_from", 1, -1).over(Window.orderBy("valid_from"))
+    checked = got.select("valid_from", "valid_to", ends.alias("next")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_to") == F.col("next")).alias("same"), F.count_if(F.col("valid_from") % 120 == 0).alias("thirds"))
+    assert tuple(checked.first()) == (333_334, 333_334, 333_334)
+    data = [("e", 1, "p", "s", at, k, v) for k, (at, v) in enumerate([(0, b"A"), (width + 5, b"A"), (2 * width + 1, b"A"), (3 * width, b"A"), (3 * width + 9, b"B"), (3 * width + 10, b"A"), (3 * width + 11, b"C"), (4 * width, b"C"), (9 * width, b"A")])]
+    schema = "entity string, machine_id bigint, plugin_id string, scope string, at bigint, seq bigint, value binary"
+    assert rows(history.validity_intervals(spark.createDataFrame(data, schema))) == versions(data)
+
+
 TRUST = "record_id bigint, machine_id bigint, seq bigint, plugin_id string, accepted struct<plugin_id:string,repository:string,head:string,tree:string,content_digest:string,file_count:bigint,limitations:array<string>,file_digests:map<string,string>>, accepted_at string, ingested_at timestamp_ntz"
 REVIEW = "decision_id bigint, machine_id bigint, seq bigint, plugin_id string, action string, scope string, created_at string, ingested_at timestamp_ntz"
 
@@ -227,6 +257,18 @@ def test_orphans_like_plain_python(spark):
     assert {(r[1], r[3]) for r in orphans(spark, trust=refs, installed=installed)} == want
 
 
+def test_orphans_of_a_hot_key(spark):
+    """One plugin of one machine holds half the references, most of them at one instant."""
+    base = 1735689600
+    hot = spark.range(60_000).selectExpr("id AS record_id", "1L AS machine_id", "id AS seq", "'hot' AS plugin_id", f"CAST({base} + IF(id % 3 = 0, id * 60, 7) AS STRING) AS accepted_at", "TIMESTAMP_NTZ'2025-01-01' AS ingested_at")
+    cold = spark.range(60_000).selectExpr("id + 60000 AS record_id", "id % 500 AS machine_id", "id AS seq", "concat('p', id % 7) AS plugin_id", f"CAST({base} + id AS STRING) AS accepted_at", "TIMESTAMP_NTZ'2025-01-01' AS ingested_at")
+    installed = spark.createDataFrame([(1, "hot", T0 + dt.timedelta(seconds=60 * k), T0 + dt.timedelta(seconds=60 * k + 30)) for k in range(0, 60_000, 6)], INSTALLED)
+    none = [spark.createDataFrame([], s) for s in (REVIEW, HISTORY)]
+    found = references.orphan_references(hot.unionByName(cold), *none, installed)
+    got = {(r.hot, r.orphan_reason): r.n for r in found.selectExpr("ref_id < 60000 AS hot", "orphan_reason").groupBy("hot", "orphan_reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(True, "deleted"): 10_000, (False, "missing"): 60_000}
+
+
 def test_cascade_reaches_its_fixpoint_even_in_cycles(spark):
     trust = [(1, 1, 0, "p", None, "100", T0), (2, 2, 0, "q", None, "1735689700", T0)]
     review = [(5, 1, 0, "p", "a", "s", "1735689700", T0), (6, 2, 0, "q", "a", "s", "1735689700", T0)]
@@ -288,6 +330,28 @@ def test_ingest_rescue_promote(spark):
     assert (promoted[1].stars, json.loads(promoted[1]._rescued)) == (None, {"id": 5, "stars": "many"})
 
 
+def test_second_choices_of_renames(spark):
+    one, two = entries(4, a=1, b=1), entries(4, x=1, y=1)
+    got = changes(spark, [(1, json.dumps(one)), (2, json.dumps(two))])
+    assert got == sorted([(1, 2, n, "renamed", o) for n in "xy" for o in "ab"], key=repr)
+    one, two = entries(4, a=1, b=lambda k: k, c=0), entries(4, x=lambda k: k, y=lambda k: 1 if k else 2)
+    assert changes(spark, [(1, json.dumps(one)), (2, json.dumps(two))]) == [(1, 2, "a", "removed", ""), (1, 2, "c", "removed", ""), (1, 2, "x", "renamed", "b"), (1, 2, "y", "added", "")]
+
+
+def test_exact_promotion_keeps_types_apart(spark):
+    listed = [{"stars": 5, "license": "MIT"}, {"stars": "5", "license": 5}, {"stars": 5.5, "license": None}, {"stars": 5.0}, {"stars": True}, {"stars": 10**30}]
+    df = spark.createDataFrame([(1, 1, 1, T0, json.dumps(listed))], FILES)
+    table = schema_drift.promote(schema_drift.ingest(df), schema_drift.PROMOTED, exact=True)
+    got = {r.pos: (r.stars, r.license, json.loads(r._rescued or "{}")) for r in table.collect()}
+    assert got[0] == (5, "MIT", {}) and got[1] == (None, None, {"stars": "5", "license": 5}) and got[2] == (None, None, {"stars": 5.5})
+    assert got[4] == (None, None, {"stars": True}) and got[5] == (None, None, {"stars": 10**30})
+    # A value is the same whether its column holds it or it is rescued, and types are told apart either way.
+    one, two = [{"id": "a", "stars": 5}, {"id": "b", "stars": 7}], [{"id": "a", "n": 5.0}, {"id": "b", "n": 7}]
+    assert changes(spark, [(1, json.dumps(one)), (2, json.dumps(two))]) == [(1, 2, "n", "renamed", "stars")]
+    two = [{"id": "a", "stars": 5.5}, {"id": "b", "stars": 7}]
+    assert changes(spark, [(1, json.dumps(one)), (2, json.dumps(two))]) == []
+
+
 # ------------------------------------------------------------------ 6
 
 
