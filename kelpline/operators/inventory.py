@@ -49,16 +49,31 @@ def parse_listing(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def inspect(directories: DataFrame, listing: DataFrame, target: str | None = None) -> DataFrame:
-    """One row per directory (root, name, is_link, manifest text) with what the listing adds.
+    """One row per directory (root, name, is_link, manifest text, and if known has_git and the
+    limitations of its content) with what the listing adds.
 
-    classification, first test that holds: a link, then a backup by name, then a
-    manifest that is missing, broken or invalid ('unscannable' but for backups), a first-party row or one cloned
-    from nothing ('built-in'), else 'local'.  *target* keeps rows whose manifest id, name
-    or claimed row is it.  Kinds come from the manifest unless it has none.
+    classification, first test that holds: a link ('unscannable'), a backup by name, a
+    manifest that is missing, broken or invalid ('unscannable'), a repository ('Git-managed'), a first-party row or
+    one cloned from nothing ('built-in'), else 'cloned/local'; ``reason`` says why one is unscannable.
+    The id and kinds come from the manifest where it counts (kinds: unless it has none), else from the listing,
+    else the id is the name.  An id other than the name is a limitation ('directory_id_mismatch').
+    Backups claim no row; links are not followed and claim the row of their name.
+    *target* keeps rows whose manifest id, name or claimed row is it.
     """
-    read = directories.select("root", "name", "is_link", manifest(F.col("manifest")).alias("m"))
-    open_dirs = read.where(~F.coalesce("is_link", F.lit(False)) & ~is_backup(F.col("name")))
-    claims = claim_listing_rows(open_dirs.select("root", "name", F.col("m.id").alias("manifest_id")), listing.select("root", "id", "ord"))
+    given = lambda name, other: F.coalesce(name, other) if name in directories.columns else other
+    none = F.array().cast("array<string>")
+    link, backup = F.coalesce("is_link", F.lit(False)), is_backup(F.col("name"))
+    read = directories.select(
+        "root",
+        "name",
+        link.alias("is_link"),
+        manifest(F.when(~link, F.col("manifest"))).alias("m"),
+        F.col("manifest").isNull().alias("unavailable"),
+        F.try_parse_json("manifest").isNull().alias("malformed"),
+        given("has_git", F.lit(False)).alias("has_git"),
+        given("limitations", none).alias("found"),
+    )
+    claims = claim_listing_rows(read.where(~backup).select("root", "name", F.col("m.id").alias("manifest_id")), listing.select("root", "id", "ord"))
     claimed = claims.where("name IS NOT NULL").select("root", "name", F.col("id").alias("row_id"), "ord")
     rows = listing.select("root", F.col("id").alias("row_id"), "ord", "enabled", "active", "first_party", "cloned_from", F.col("kinds").alias("row_kinds"))
     joined = read.join(claimed, ["root", "name"], "left").join(rows, ["root", "row_id", "ord"], "left")
@@ -66,23 +81,36 @@ def inspect(directories: DataFrame, listing: DataFrame, target: str | None = Non
         joined = joined.where((F.col("m.id") == target) | (F.col("name") == target) | (F.col("row_id") == target))
     built_in = F.coalesce("first_party", F.lit(False)) | F.col("cloned_from").eqNullSafe("")
     kind = (
-        F.when(F.coalesce("is_link", F.lit(False)), "unscannable")
-        .when(is_backup(F.col("name")), "backup")
+        F.when(F.col("is_link"), "unscannable")
+        .when(backup, "backup")
         .when(~F.col("m.valid"), "unscannable")
+        .when(F.col("has_git"), "Git-managed")
         .when(built_in, "built-in")
-        .otherwise("local")
+        .otherwise("cloned/local")
+    )
+    reason = (
+        F.when(F.col("is_link"), "link")
+        .when(F.col("unavailable"), "manifest_unavailable")
+        .when(F.col("malformed"), "manifest_malformed")
+        .otherwise("manifest_invalid")
     )
-    return joined.select(
+    counts_here = ~F.col("classification").isin("unscannable", "backup")
+    row_kinds = F.coalesce("row_kinds", none)
+    told = joined.withColumn("classification", kind).select(
         "root",
         "name",
-        F.coalesce("m.id", "row_id", "name").alias("id"),
-        kind.alias("classification"),
+        F.when(counts_here, F.col("m.id")).otherwise(F.coalesce("row_id", "name")).alias("id"),
+        "classification",
+        F.when(F.col("classification") == "unscannable", reason).alias("reason"),
         F.nullif(F.col("cloned_from"), F.lit("")).alias("repository"),
         "enabled",
         "active",
         "first_party",
-        F.when(F.size("m.kinds") > 0, F.col("m.kinds")).otherwise(F.col("row_kinds")).alias("kinds"),
+        F.when(counts_here & (F.size("m.kinds") > 0), F.col("m.kinds")).otherwise(row_kinds).alias("kinds"),
+        "found",
     )
+    mismatch = F.when((F.col("id") != F.col("name")) & (F.col("classification") != "unscannable"), F.array(F.lit("directory_id_mismatch"))).otherwise(none)
+    return told.withColumn("limitations", F.array_sort(F.array_distinct(F.concat("found", mismatch)))).drop("found")
 
 
 def unclaimed(claims: DataFrame) -> DataFrame:
@@ -96,3 +124,15 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.agg(
         (F.count(F.lit(1)) - is_kind("backup")).alias("installed"), is_kind("backup").alias("backups"), is_kind("unscannable").alias("unscannable")
     )
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Inventory rows as they are shown: by id, then name (a sort of the whole result)."""
+    return rows.orderBy("id", "name")
+
+
+def report_rows(rows: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+    """*keys* and the JSON of each row; the fields of its claim are there, as ``marketplace_...``, only if they are known."""
+    named = [F.col(c).alias(f"marketplace_{c}") for c in claims.columns if c not in keys]
+    joined = rows.join(claims.select(*keys, *named), keys, "left")
+    return joined.select(*keys, F.to_json(F.struct(*[c for c in joined.columns])).alias("json"))
