@@ -100,3 +100,13 @@ def truncated(text: Column, limit: int) -> Column:
     head = F.decode(F.substring(data, F.lit(1), F.coalesce(*ends)), "UTF-8")
     cut = F.octet_length(text) > limit
     return F.struct(F.when(cut, head).otherwise(text).alias("text"), cut.alias("truncated"))
+
+
+def as_expected(value: Column, expected: Column) -> Column:
+    """Both null, or both there and equal."""
+    return value.eqNullSafe(expected)
+
+
+def is_dirty(status: Column) -> Column:
+    """Whether a work tree's status output says anything; unknown stays null."""
+    return F.length(status) > 0

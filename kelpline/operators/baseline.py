@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import truncated
-from kelpline.operators.identity import FIELDS, same_identity
+from kelpline.operators.identity import FIELDS, drift_key, identity_of, same_identity
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -50,6 +50,19 @@ def compare_with_baseline(current: DataFrame, baseline: DataFrame, keys: list[st
     return joined.select(*keys, state.alias("state"))
 
 
+def drifted(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, drift_key of the components whose identity is not that of their baseline; the key tells this
+    difference from any other (see ``identity.drift_key``)."""
+    named = lambda c: identity_of(F.struct(*[c(f).alias(f) for f in FIELDS]))
+    old = named(lambda f: F.col(f) if f in keys else F.col(f"old_{f}"))
+    base = baseline.select(*keys, *[F.col(f).alias(f"old_{f}") for f in FIELDS if f not in keys])
+    same = F.lit(True)
+    for f in FIELDS:
+        same = same & (F.lit(True) if f in keys else F.col(f).eqNullSafe(F.col(f"old_{f}")))
+    changed = current.join(base, keys).where(~same)
+    return changed.select(*keys, drift_key(F.col("plugin_id"), old, named(F.col)).alias("drift_key"))
+
+
 def changed_keys(old: DataFrame, new: DataFrame, keys: list[str], files: str) -> DataFrame:
     """keys, path of map entries that differ between the two sides; a missing entry differs
     from any present one, a null value only from values.  Only keys on both sides are compared,
@@ -79,6 +92,19 @@ def absent(known: DataFrame, present: DataFrame, keys: list[str], *except_for: D
     return out
 
 
+def appended(log: DataFrame, fresh: DataFrame, keys: list[str], order: list[str], seq: str = "seq") -> DataFrame:
+    """*log* and, behind it, the rows of *fresh* (the same columns without *seq*): each key's rows in *order*
+    take the numbers after its greatest.  A bag union; nothing is dropped or merged."""
+    ends = log.groupBy(*keys).agg(F.max(seq).alias("end"))
+    along = Window.partitionBy(*keys).orderBy(*order)
+    numbered = fresh.withColumn("nth", F.row_number().over(along))
+    same = [numbered[k].eqNullSafe(ends[k]) for k in keys]
+    joined = numbered.join(ends, same, "left").select(
+        *[numbered[c] for c in fresh.columns], (F.coalesce("end", F.lit(-1)) + F.col("nth")).cast(log.schema[seq].dataType).alias(seq)
+    )
+    return log.unionByName(joined.select(*log.columns))
+
+
 def changed_text(changed: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """keys, text: one line ``changed: path`` per path in order, cut at *limit* bytes, and whether it was.
     A key's paths are those of one component."""

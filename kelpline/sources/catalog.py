@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.operators.structural import as_list, symbol
+from kelpline.operators.structural import as_list, as_object, as_text, symbol
 
 #: Largest catalog document that is read.
 MAX_CATALOG_BYTES = 32 << 20
@@ -48,21 +50,75 @@ def parse_catalog(spark: SparkSession, text: str) -> tuple[DataFrame, str | None
     head = root.select(listed.isNotNull().alias("ok"), F.when(wrapped, time).alias("at")).first()
     if not head.ok:
         raise CatalogError("neither an array nor an object with a list of entries")
-    fields = {
-        "id": "id",
-        "repo": "repo",
-        "verificationStatus": "verification_status",
-        "listingValidatedCommit": "listing_validated_commit",
-        "upstreamObservedCommit": "upstream_observed_commit",
-        "upstreamCheckStatus": "upstream_check_status",
-        "repositoryLayout": "repository_layout",
-        "kind": "kind",
+    return parsed_entries(root.select(listed.alias("list")), [], F.col("list")), head.at
+
+
+#: Keys of an entry -> columns.
+FIELDS = {
+    "id": "id",
+    "repo": "repo",
+    "verificationStatus": "verification_status",
+    "listingValidatedCommit": "listing_validated_commit",
+    "upstreamObservedCommit": "upstream_observed_commit",
+    "upstreamCheckStatus": "upstream_check_status",
+    "repositoryLayout": "repository_layout",
+    "kind": "kind",
+}
+
+
+def parsed_entries(catalogs: DataFrame, keys: list[str], listed: Column) -> DataFrame:
+    """*keys*, pos, one text column per FIELDS (null unless the value is a scalar) and ``extra``, JSON of all other
+    fields, of each element of the list (a VARIANT) of each catalog; an element that is no object has nulls."""
+    entries = catalogs.select(*keys, F.posexplode(as_list(listed)).alias("pos", "e"))
+    rest = F.map_filter(as_object(F.col("e")), lambda k, _: ~k.isin(*FIELDS))
+
+    def text(key: str) -> Column:
+        v = F.try_variant_get("e", f"$.{key}", "variant")
+        return F.when(~symbol(v).isin("array", "object"), as_text(v))
+
+    columns = [text(k).alias(n) for k, n in FIELDS.items()]
+    return entries.select(*keys, F.col("pos").cast("long").alias("pos"), *columns, F.to_json(rest).alias("extra"))
+
+
+def load_cached(spark: SparkSession, folder: str, official: str, original: Callable[[str], bytes | None]) -> dict | None:
+    """The catalog kept in *folder* (``catalog.json`` beside ``catalog.meta.json``), or None if either is missing.
+
+    Gives entries, generation_time, repository, repository_commit, retrieved_at and verified: whether
+    the recorded digest is the file's, the recorded repository is *official*, the commit is one, and
+    *original*(commit), the bytes as fetched, are the file's.  Raises CatalogError for a file too large or no catalog.
+    """
+    meta_path, path = os.path.join(folder, "catalog.meta.json"), os.path.join(folder, "catalog.json")
+    if not (os.path.exists(meta_path) and os.path.exists(path)):
+        return None
+    with open(meta_path, encoding="utf-8") as f:
+        meta = json.load(f)
+    entries, at = read_catalog(spark, path)
+    commit = meta["repository_commit"]
+    known = len(commit) in (40, 64) and not set(commit) - set("0123456789abcdefABCDEF")
+    verified = known and meta.get("file_digest") is not None and verified_copy(path, meta["file_digest"], original(commit), meta.get("repository_url"), official)
+    return {
+        "entries": entries,
+        "generation_time": at,
+        "repository": meta.get("repository_url") or official,
+        "repository_commit": commit,
+        "retrieved_at": meta.get("retrieved_at") or "unknown",
+        "verified": verified,
     }
-    entries = root.select(F.posexplode(as_list(listed)).alias("pos", "e"))
-    as_map = F.try_variant_get("e", "$", "map<string,variant>")
-    rest = F.map_filter(as_map, lambda k, _: ~k.isin(*fields))
-    columns = [F.try_variant_get("e", f"$.{k}", "string").alias(n) for k, n in fields.items()]
-    return entries.select(F.col("pos").cast("long").alias("pos"), *columns, F.to_json(rest).alias("extra")), head.at
+
+
+def read_packages(spark: SparkSession, path: str) -> DataFrame:
+    """A package index, a JSON array of objects, gzip or not: (votes, modified, flagged), absent ones null."""
+    root = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    one = root.select(F.explode(as_list(F.col("v"))).alias("p"))
+    flag = F.try_variant_get("p", "$.OutOfDate", "variant")
+    flagged = F.when(symbol(flag).isin("absent", "null"), False).when(symbol(flag) == "boolean", F.try_variant_get(flag, "$", "boolean")).when(
+        symbol(flag) == "number", F.try_variant_get(flag, "$", "double") != 0
+    )
+    return one.select(
+        F.try_variant_get("p", "$.NumVotes", "bigint").alias("votes"),
+        F.try_variant_get("p", "$.LastModified", "bigint").alias("modified"),
+        flagged.alias("flagged"),
+    )
 
 
 def parse_remote_head(text: str) -> str:

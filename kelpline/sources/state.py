@@ -6,12 +6,13 @@ import contextlib
 import fcntl
 import json
 import os
+import platform
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 VERSION = 1
 
@@ -111,3 +112,22 @@ def commit_signals(path: str, fresh: DataFrame, state: DataFrame, notify: Callab
 def exit_code(outstanding: int, new: int, only_new: bool = False) -> int:
     """3 if there are findings (new ones under *only_new*), else 0."""
     return 3 if (new if only_new else outstanding) else 0
+
+
+def folder_for(kind: str, environment: Mapping[str, str], home: str, name: str = "kelpline") -> str:
+    """Where *kind* ('state', 'cache', 'config' or 'data') is kept: below the folder of the environment
+    if that is absolute, else below its usual place in *home*."""
+    variable, usual = {
+        "state": ("XDG_STATE_HOME", ".local/state"),
+        "cache": ("XDG_CACHE_HOME", ".cache"),
+        "config": ("XDG_CONFIG_HOME", ".config"),
+        "data": ("XDG_DATA_HOME", ".local/share"),
+    }[kind]
+    named = environment.get(variable, "")
+    return os.path.join(named if os.path.isabs(named) else os.path.join(home, usual), name)
+
+
+def provenance(spark: SparkSession, version: str, limitations: list[str]) -> DataFrame:
+    """One row on what made a result: schema, tool, version, versions of Spark and Python, known limitations of coverage."""
+    row = ("kelpline.provenance.v1", "kelpline", version, spark.version, platform.python_version(), limitations)
+    return spark.createDataFrame([row], "schema string, tool string, version string, spark string, python string, coverage_limitations array<string>")

@@ -72,24 +72,26 @@ def test_content_identity(spark):
 
 
 def folded(files, file_limit, total, sample):
+    """The budget's rule, file by file: nothing is opened once it is used up, and a sample's tail is charged beyond it."""
     used, out = 0, []
     for path, size in files:
-        left = total - used
-        if size <= file_limit and size <= left:
-            outcome, charged = "read", size
-        elif left <= 0:
-            outcome, charged = "skipped", 0
+        if used >= total:
+            out.append((path, "skipped", 0))
+            continue
+        if size > file_limit or used + size > total:
+            bound = min(sample, total - used)
+            charged = min(size, bound) + (bound // 2 if size > bound and bound > 1 else 0)
+            out.append((path, "sampled", charged))
         else:
-            head = min(sample, left, size)
-            outcome, charged = "sampled", head + (min(head // 2, left - head) if size > head else 0)
+            charged = size
+            out.append((path, "read", size))
         used += charged
-        out.append((path, outcome, charged))
     return out
 
 
 def test_budget_fold(spark):
     rng = random.Random(9)
-    lists = [[(f"f{k}", rng.choice([0, 5, 50, 500])) for k in range(rng.randrange(12))] for _ in range(150)]
+    lists = [[(f"f{k}", rng.choice([0, 5, 50, 500])) for k in range(rng.randrange(12))] for _ in range(150)] + [[(f"f{k}", 0) for k in range(1_000)] + [("last", 301)] * 2]
     got = values(spark, lambda c: identity.budget_fold(c, 60, 300, 40), lists, "array<struct<path:string,size:bigint>>")
     assert [[tuple(r) for r in g] for g in got] == [folded(f, 60, 300, 40) for f in lists]
 
@@ -143,7 +145,7 @@ def test_inventory(spark):
     rows, bad = inventory.parse_listing(spark.createDataFrame([(1, text), (2, None), (3, "{}"), (4, "nope")], "root int, text string"))
     assert {(r.root, r.limitation) for r in bad.collect()} == {(2, "listing_absent"), (3, "listing_malformed"), (4, "listing_malformed")}
     got = {r.name: r for r in inventory.inspect(directories, rows).collect()}
-    assert {k: r.classification for k, r in got.items()} == {"a": "built-in", "b.bak": "backup", "c": "unscannable", "d": "unscannable", "e": "unscannable", "f": "local", "g": "unscannable"}
+    assert {k: r.classification for k, r in got.items()} == {"a": "built-in", "b.bak": "backup", "c": "unscannable", "d": "unscannable", "e": "unscannable", "f": "cloned/local", "g": "unscannable"}
     assert (got["a"].kinds, got["f"].kinds, got["f"].repository, got["a"].repository, got["a"].active) == (["bar"], ["k"], "u", None, True)
     assert [r.name for r in inventory.inspect(directories, rows, "z").collect()] == ["f"]
     assert tuple(inventory.counts(inventory.inspect(directories, rows)).first()) == (6, 1, 4)
