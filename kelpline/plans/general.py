@@ -60,6 +60,11 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return schema_drift.schema_changes(reader(spark, directory)("catalog_files"))
 
 
+def p5_rescued(spark: SparkSession, directory: str) -> DataFrame:
+    """What ingestion rescued before anything is promoted: a row per field of an entry that is unknown or did not fit."""
+    return schema_drift.rescued_fields(schema_drift.ingest(reader(spark, directory)("catalog_files")))
+
+
 def p5_table(spark: SparkSession, directory: str) -> DataFrame:
     """The one consistent table: typed columns, renamed and retyped values replayed into
     them, promoted fields, and every other non-null value in ``_rescued``."""
@@ -73,4 +78,4 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return snapshots.snapshot_changes(t("catalog_snapshots"), t("catalog_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p3_found, p4_found, p4_cascade, p5_found, p5_table, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p3_found, p4_found, p4_cascade, p5_found, p5_rescued, p5_table, p6_found)}

@@ -201,17 +201,48 @@ FROM changed
 WHERE (registry_id, file_seq, k) NOT IN (SELECT (registry_id, file_seq, gone) FROM renames)
   AND (registry_id, file_seq, k) NOT IN (SELECT (registry_id, file_seq, fresh) FROM renames)"""
 
-_TEXT = "CASE json_type(e, '$.{0}') WHEN 'VARCHAR' THEN e ->> '$.{0}' END AS {0}"
-
-P5_TABLE = P5_ENTRIES + """
-SELECT registry_id, file_seq, pos, """ + ", ".join(
-    _TEXT.format(c)
-    for c in ("id", "repo", "verificationStatus", "listingValidatedCommit", "upstreamObservedCommit", "upstreamCheckStatus", "repositoryLayout", "kind")
-) + """,
-  CASE WHEN json_type(e, '$.stars') NOT IN ('NULL', 'ARRAY', 'OBJECT') THEN CASE json_type(e, '$.stars') WHEN 'BOOLEAN' THEN (e ->> '$.stars')::BOOLEAN::BIGINT
-    ELSE try_cast(e ->> '$.stars' AS BIGINT) END END AS stars,
-  CASE WHEN json_type(e, '$.license') NOT IN ('NULL', 'ARRAY', 'OBJECT') THEN e ->> '$.license' END AS license
-FROM entries"""
+# Every non-null field of every entry, and where it goes: its column if it is a string of the target schema, else rescued.
+P5_FIELDS = P5_ENTRIES + """,
+fields AS (
+  SELECT registry_id, file_seq, pos, k, json_type(e, '$."' || k || '"') AS t, json_extract(e, '$."' || k || '"') AS v, e ->> ('$."' || k || '"') AS s
+  FROM (SELECT registry_id, file_seq, pos, e, unnest(list_distinct(json_keys(e))) AS k FROM entries)),
+placed AS (
+  SELECT *, t = 'VARCHAR' AND k IN ('id', 'repo', 'verificationStatus', 'listingValidatedCommit', 'upstreamObservedCommit', 'upstreamCheckStatus', 'repositoryLayout', 'kind') AS own
+  FROM fields WHERE t <> 'NULL')"""
+
+# JSON of a value with the keys of an object in order and numbers without trailing zeros, down to the elements of an object or list.
+_PLAIN = "CASE json_type({0}) WHEN 'DOUBLE' THEN rtrim(rtrim({0}::VARCHAR, '0'), '.') ELSE {0}::VARCHAR END"
+_MEMBERS = "list_transform(list_sort(json_keys({0})), lambda x: to_json(x)::VARCHAR || ':' || " + _PLAIN.format("json_extract({0}, '$.\"' || x || '\"')") + ")"
+_ORDERED = "CASE json_type({0}) WHEN 'OBJECT' THEN '{{' || array_to_string(" + _MEMBERS + ", ',') || '}}' WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract({0}, '$[*]'), lambda x: " + _PLAIN.format("x") + "), ',') || ']' ELSE " + _PLAIN + " END"
+
+P5_RESCUED = P5_FIELDS + f"""
+SELECT registry_id, file_seq, pos, k AS field_name, {_ORDERED.format('v')} AS rescued FROM placed WHERE NOT own"""
+
+#: Columns of the one table: type, and the other names that are replayed into them (as approved).
+P5_COLUMNS = {
+    **{c: ("VARCHAR", ()) for c in ("id", "repo", "listingValidatedCommit", "upstreamObservedCommit", "kind")},
+    "verificationStatus": ("VARCHAR", ("verification_status", "verficationStatus", "verification")),
+    "upstreamCheckStatus": ("VARCHAR", ("upstream_check_status", "upstream.checkStatus", "upstreamCheck", "checkStatus", "upstreamcheckstatus", "UpstreamCheckStatus")),
+    "repositoryLayout": ("VARCHAR", ("repository_layout", "repository layout", "repoLayout", "layout", "repositorylayout", "Layout")),
+    "stars": ("BIGINT", ("starCount", "star_count")),
+    "license": ("VARCHAR", ("licence", "License", "spdx")),
+}
+_NAMES = ", ".join(f"('{c}', '{n}', {k}, {t == 'BIGINT'})" for c, (t, others) in P5_COLUMNS.items() for k, n in enumerate((c, *others)))
+
+P5_TABLE = P5_FIELDS + f""",
+names(c, k, nth, whole) AS (VALUES {_NAMES}),
+cast_to AS (
+  SELECT p.*, c, nth, CASE WHEN NOT whole THEN s WHEN t = 'BOOLEAN' THEN CASE s WHEN 'true' THEN '1' ELSE '0' END
+    WHEN t = 'VARCHAR' AND NOT regexp_full_match(trim(s), '[+-]?[0-9]+') THEN NULL ELSE try_cast(s AS BIGINT)::VARCHAR END AS x
+  FROM placed p JOIN names USING (k) WHERE t NOT IN ('ARRAY', 'OBJECT')),
+chosen AS (SELECT * FROM cast_to WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY registry_id, file_seq, pos, c ORDER BY NOT own, nth) = 1),
+gone AS (SELECT DISTINCT registry_id, file_seq, pos, k FROM chosen WHERE own OR x = s UNION SELECT registry_id, file_seq, pos, k FROM placed WHERE own),
+kept AS (
+  SELECT registry_id, file_seq, pos, '{{' || string_agg(to_json(k)::VARCHAR || ':' || {_ORDERED.format('v')}, ',' ORDER BY k) || '}}' AS _rescued
+  FROM placed ANTI JOIN gone USING (registry_id, file_seq, pos, k) GROUP BY ALL),
+wide AS (SELECT registry_id, file_seq, pos, """ + ", ".join(f"max(x) FILTER (c = '{c}')::{t} AS \"{c}\"" for c, (t, _) in P5_COLUMNS.items()) + """ FROM chosen GROUP BY ALL)
+SELECT registry_id, file_seq, pos, """ + ", ".join(f'"{c}"' for c in P5_COLUMNS) + """, _rescued
+FROM (SELECT registry_id, file_seq, pos FROM entries) LEFT JOIN wide USING (registry_id, file_seq, pos) LEFT JOIN kept USING (registry_id, file_seq, pos)"""
 
 P6_FOUND = """
 WITH snaps AS (SELECT snapshot_id, any_value(registry_id) AS registry_id, max(retrieved_at) AS moment FROM catalog_snapshots GROUP BY snapshot_id),
@@ -238,6 +269,7 @@ ORACLES = {
     "p4_found": P4_FOUND,
     "p4_cascade": P4_CASCADE,
     "p5_found": P5_FOUND,
+    "p5_rescued": P5_RESCUED,
     "p5_table": P5_TABLE,
     "p6_found": P6_FOUND,
 }
