@@ -165,6 +165,13 @@ def promote(
     return picked.select(*typed, F.when(F.size(rest) > 0, F.to_json(rest)).alias(RESCUED))
 
 
+def rescued_fields(ingested: DataFrame) -> DataFrame:
+    """FILE, pos, field_name, rescued (canonical JSON): the fields in ``_rescued``, one row each."""
+    fields = F.try_variant_get(F.try_parse_json(RESCUED), "$", "map<string,variant>")
+    rows = ingested.select(*FILE, "pos", F.explode(fields).alias("field_name", "value"))
+    return rows.select(*FILE, "pos", "field_name", F.to_json("value").alias("rescued"))
+
+
 #: JSON types, each a bit of the set of types that a field has in a file.
 TYPES = ("string", "number", "boolean", "array", "object")
 
@@ -219,10 +226,11 @@ def schema_changes(files: DataFrame) -> DataFrame:
     such pair is a row, also if a field is in several.  Other gone or new fields: 'removed',
     'added'; 'retyped': the set of types differs.  Field names are exact.
 
-    The ingested table is written once, the changed fields of each pair of files too.
+    What the ingested table shows is written once (names, types and digests, no values), the changed
+    fields of each pair of files too.
     """
     table = promote(ingest(files, empty_files=True), PROMOTED, exact=True)
-    seen = observed_fields(cut_lineage(table))
+    seen = cut_lineage(observed_fields(table))
     pairs = cut_lineage(changed_fields(seen))
 
     # What each file must show for its pairs, so that the entries are joined once and narrowed at once.
