@@ -5,9 +5,10 @@ Both sides are tagged and united, grouped *once* by key into one struct per side
 two structs are compared by higher-order SQL generated from a field specification.
 No join, no second shuffle.
 
-Values only have to be told apart, so what crosses the exchange is not the values of a map
-but one text per entry, a 22-character tag (128 bits of digest) and the key.  Two lists of
-such texts are compared by hashing, in time linear in the entries.
+Values only have to be told apart, so what crosses the exchange are 16-character tags (96 bits of
+digest) of digests and of the values of a map, there as one text per entry, tag and key.  Two lists
+of such texts are compared by hashing, in time linear in the entries.  Values are held equal if
+their tags are; tags are only compared within one field, or one path, of one key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from kelpline.functions.frames import pick
 @dataclass(frozen=True)
 class Field:
     """How a field compares.  kind: 'value', 'list' (null equals empty, order counts)
-    or 'map' (null equals empty; one difference per key).  fold: letter case is ignored."""
+    or 'map' (null equals empty; one difference per key).  fold: a digest, whose letter case is ignored."""
 
     name: str
     kind: str = "value"
@@ -41,25 +42,25 @@ IDENTITY = (
 )
 
 
-#: Characters of a tag: 16 bytes in base 64 without padding.
-TAG = 22
+#: Characters of a tag: 12 bytes in base 64.
+TAG = 16
 
 
 def _tag(value: Column) -> Column:
-    """Equal for equal values; null has a tag of its own."""
-    return F.coalesce(F.substring(F.base64(F.unhex(F.md5(value))), 1, TAG), F.lit("-" * TAG))
+    """Equal for equal values; null for null."""
+    return F.substring(F.base64(F.unhex(F.md5(value))), 1, TAG)
 
 
 def _canonical(f: Field) -> Column:
     c = F.col(f.name)
     if f.kind == "map":
         tagged = F.transform(
-            F.map_entries(c), lambda e: F.concat(_tag(F.lower(e["value"]) if f.fold else e["value"]), e["key"])
+            F.map_entries(c), lambda e: F.concat(F.coalesce(_tag(F.lower(e["value"]) if f.fold else e["value"]), F.lit("-" * TAG)), e["key"])
         )
         return F.coalesce(tagged, F.array().cast("array<string>"))
     if f.kind == "list":
         return F.coalesce(c, F.array())
-    return F.lower(c) if f.fold else c
+    return _tag(F.lower(c)) if f.fold else c
 
 
 def difference_sql(fields: tuple[Field, ...], left: str, right: str) -> str:
