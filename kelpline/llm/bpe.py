@@ -14,7 +14,9 @@ are remembered per Python worker, up to a bound.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -51,12 +53,18 @@ class ByteBPE:
 
     @classmethod
     def load(cls, path: str) -> ByteBPE:
-        """The vocabulary at *path* (lines of base64 bytes and rank), once per process."""
-        if path not in _LOADED:
-            with open(path, "rb") as f:
-                pairs = (line.split() for line in f if line.strip())
-                _LOADED[path] = cls({base64.b64decode(b): int(r) for b, r in pairs})
-        return _LOADED[path]
+        """The vocabulary at *path*, once per process."""
+        with open(path, "rb") as f:
+            return cls.of(f.read())
+
+    @classmethod
+    def of(cls, data: bytes) -> ByteBPE:
+        """The vocabulary of a file's content (lines of base64 bytes and rank), once per process."""
+        key = hashlib.sha256(data).hexdigest()
+        if key not in _LOADED:
+            pairs = (line.split() for line in data.splitlines() if line.strip())
+            _LOADED[key] = cls({base64.b64decode(b): int(r) for b, r in pairs})
+        return _LOADED[key]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one segment: the linked list and heap described above."""
@@ -131,16 +139,29 @@ class ByteBPE:
         return b"".join(strings.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
+#: Largest vocabulary file; it travels to the executors, which need not have it.
+MAX_VOCABULARY_BYTES = 32 << 20
+
+
+def _shared(df: DataFrame, path: str | None):
+    """The vocabulary file at *path* on the driver, broadcast."""
+    path = path or vocabulary_path()
+    if os.path.getsize(path) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (ARRAY<INT>, no special tokens) of every row, in a single pass.
 
     Null and empty texts give an empty list.  The strings of special tokens in a text
     are ordinary text.  Repeated rows are encoded each.  Nothing is shuffled.
     """
-    path = path or vocabulary_path()
+    vocabulary = _shared(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.load(path)
+        bpe = ByteBPE.of(vocabulary.value)
         for batch in batches:
             ids, ends = array("i"), array("i", [0])
             for text in batch.column("text"):
@@ -156,10 +177,10 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of rows of (doc_id, ids); a null list gives an empty text."""
-    path = path or vocabulary_path()
+    vocabulary = _shared(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.load(path)
+        bpe = ByteBPE.of(vocabulary.value)
         for batch in batches:
             texts = [bpe.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
