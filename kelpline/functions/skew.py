@@ -31,12 +31,13 @@ def running_sums(df: DataFrame, keys: list[str], part: str, order: list[Column],
     solid = {f"{k}_solid": F.coalesce(k, F.lit("" if types[k] == "string" else 0).cast(types[k])) for k in keys}
     solid |= {f"{k}_null": F.col(k).isNull() for k in keys}
     groups = [*solid, part]
-    rows = df.withColumns(solid).repartition(*groups)
+    rest = [c for c in df.columns if c not in (*keys, *sums, part)]
+    rows = df.select(*[c.alias(n) for n, c in solid.items()], part, *rest, *sums).repartition(*groups)
     inside = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rest = [c for c in df.columns if c not in sums]
-    local = rows.select(*rest, *solid, *[F.sum(c).over(inside).alias(c) for c in sums])
+    local = rows.select(*groups, *rest, *[F.sum(c).over(inside).alias(c) for c in sums])
     totals = rows.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in sums])
     before = Window.partitionBy(*solid).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*groups, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_carried") for c in sums])
-    joined = local.join(carried, groups)
-    return joined.select(*rest, *[(F.col(c) + F.col(f"{c}_carried")).alias(c) for c in sums])
+    totalled = {c: F.col(c) + F.col(f"{c}_carried") for c in sums}
+    whole = {k: F.when(~F.col(f"{k}_null"), F.col(f"{k}_solid")) for k in keys}
+    return local.join(carried, groups).select(*[(whole | totalled).get(c, F.col(c)).alias(c) for c in df.columns])
