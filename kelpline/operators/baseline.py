@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.functions.skew import running_sums
 from kelpline.functions.text import truncated
 from kelpline.operators.identity import FIELDS, drift_key, identity_of, same_identity
 
@@ -92,15 +93,16 @@ def absent(known: DataFrame, present: DataFrame, keys: list[str], *except_for: D
     return out
 
 
-def appended(log: DataFrame, fresh: DataFrame, keys: list[str], order: list[str], seq: str = "seq") -> DataFrame:
+def appended(log: DataFrame, fresh: DataFrame, keys: list[str], order: list[str], part: Column, seq: str = "seq") -> DataFrame:
     """*log* and, behind it, the rows of *fresh* (the same columns without *seq*): each key's rows in *order*
-    take the numbers after its greatest.  A bag union; nothing is dropped or merged."""
+    take the numbers after its greatest.  A bag union; nothing is dropped or merged.  *part* cuts the order into
+    ranges (not null, never decreasing along it), so that a hot key is numbered range by range."""
     ends = log.groupBy(*keys).agg(F.max(seq).alias("end"))
-    along = Window.partitionBy(*keys).orderBy(*order)
-    numbered = fresh.withColumn("nth", F.row_number().over(along))
+    counted = fresh.withColumns({"part_": part, "nth_": F.lit(1).cast("long")})
+    numbered = running_sums(counted, keys, "part_", [F.col(c) for c in order], ["nth_"])
     same = [numbered[k].eqNullSafe(ends[k]) for k in keys]
     joined = numbered.join(ends, same, "left").select(
-        *[numbered[c] for c in fresh.columns], (F.coalesce("end", F.lit(-1)) + F.col("nth")).cast(log.schema[seq].dataType).alias(seq)
+        *[numbered[c] for c in fresh.columns], (F.coalesce("end", F.lit(-1)) + F.col("nth_")).cast(log.schema[seq].dataType).alias(seq)
     )
     return log.unionByName(joined.select(*log.columns))
 

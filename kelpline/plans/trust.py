@@ -341,7 +341,7 @@ def t_appended(spark, directory):
     t = reader(spark, directory)
     log = t("trust_records").select("machine_id", "seq", F.col("record_id").alias("id"), F.lit("record").alias("kind"))
     fresh = t("review_decisions").select("machine_id", F.col("decision_id").alias("id"), F.lit("decision").alias("kind"), F.col("seq").alias("at"), "ingested_at")
-    numbered = baseline.appended(log.withColumns({"at": F.lit(None).cast("long"), "ingested_at": F.lit(None).cast("timestamp_ntz")}), fresh, ["machine_id"], ["at", "id", "ingested_at"])
+    numbered = baseline.appended(log.withColumns({"at": F.lit(None).cast("long"), "ingested_at": F.lit(None).cast("timestamp_ntz")}), fresh, ["machine_id"], ["at", "id", "ingested_at"], F.coalesce(F.floor(F.col("at") / 65_536), F.lit(-1 << 62)))
     return numbered.select("machine_id", "seq", "id", "kind")
 
 

@@ -151,6 +151,38 @@ def test_inventory(spark):
     assert tuple(inventory.counts(inventory.inspect(directories, rows)).first()) == (6, 1, 4)
 
 
+def test_inspection_tells_why_and_what_else(spark):
+    good = '{"schemaVersion": 1, "id": "%s"}'
+    dirs = [("a", False, good % "a", True, ["x"]), ("b", False, good % "other", False, None), ("c", None, "[", False, None), ("d.bak", False, good % "a", False, None), ("e", True, good % "e", False, None), ("f", False, None, False, None), ("g", False, "{}", False, ["z", "y", "z"])]
+    directories = spark.createDataFrame([(1, *d) for d in dirs], "root int, name string, is_link boolean, manifest string, has_git boolean, limitations array<string>")
+    rows, _ = inventory.parse_listing(spark.createDataFrame([(1, '[{"id":"a"},{"id":"e","enabled":true},{"id":"d.bak"},{"id":"c","kinds":["k"]}]')], "root int, text string"))
+    got = {r.name: (r.id, r.classification, r.reason, r.limitations, r.enabled, r.kinds) for r in inventory.inspect(directories, rows).collect()}
+    assert got == {
+        "a": ("a", "Git-managed", None, ["x"], None, []), "b": ("other", "cloned/local", None, ["directory_id_mismatch"], None, []),
+        "c": ("c", "unscannable", "manifest_malformed", [], None, ["k"]), "d.bak": ("d.bak", "backup", None, [], None, []),
+        "e": ("e", "unscannable", "link", [], True, []), "f": ("f", "unscannable", "manifest_unavailable", [], None, []), "g": ("g", "unscannable", "manifest_invalid", ["y", "z"], None, []),
+    }
+    shown = inventory.in_order(inventory.inspect(directories, rows)).collect()
+    assert [r.id for r in shown] == sorted(r.id for r in shown)
+
+
+def test_report_rows_have_a_claim_only_if_it_is_known(spark):
+    import json
+
+    rows = spark.createDataFrame([("a", "x", None), ("b", None, True)], "id string, repository string, active boolean")
+    claims = spark.createDataFrame([("a", "listed", None)], "id string, status string, upstream_moved boolean")
+    got = {r.id: json.loads(r.json) for r in inventory.report_rows(rows, claims, ["id"]).collect()}
+    assert got == {"a": {"id": "a", "repository": "x", "marketplace_status": "listed"}, "b": {"id": "b", "active": True}}
+
+
+def test_appending_numbers_on(spark):
+    log = spark.createDataFrame([("a", 7, "x"), ("a", 7, "x"), (None, 0, "y")], "k string, seq bigint, v string")
+    fresh = spark.createDataFrame([("a", "p", 5), ("a", "p", 5), ("a", "o", 1), ("b", "q", None), (None, "r", 2)], "k string, v string, at bigint")
+    whole = log.withColumn("at", F.lit(None).cast("bigint"))
+    got = baseline.appended(whole, fresh, ["k"], ["at", "v"], F.coalesce(F.floor(F.col("at") / 2), F.lit(-1)))
+    assert sorted([(r.k, r.seq, r.v) for r in got.collect()], key=str) == sorted([("a", 7, "x"), ("a", 7, "x"), (None, 0, "y"), ("a", 8, "o"), ("a", 9, "p"), ("a", 10, "p"), ("b", 0, "q"), (None, 1, "r")], key=str)
+
+
 SIGNAL = "ord bigint, plugin_id string, kind string, severity string, key string"
 
 
