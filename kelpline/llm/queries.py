@@ -8,8 +8,17 @@ from kelpline.llm import bpe, contamination, sentences
 from kelpline.sources.tables import reader
 
 
+#: Setting by which a caller deals the documents out to so many tasks; unset, they are taken as their files are cut.
+PARTITIONS = "spark.kelpline.text.partitions"
+
+
+def _documents(spark: SparkSession, directory: str) -> DataFrame:
+    docs, asked = reader(spark, directory)("documents"), spark.conf.get(PARTITIONS, None)
+    return docs.repartition(int(asked)) if asked else docs
+
+
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
-    return bpe.encode_documents(reader(spark, directory)("documents"))
+    return bpe.encode_documents(_documents(spark, directory))
 
 
 def p7_round_trip(spark: SparkSession, directory: str) -> DataFrame:
@@ -18,12 +27,11 @@ def p7_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
-    t = reader(spark, directory)
-    return contamination.leaked_items(t("documents"), t("eval_items"))
+    return contamination.leaked_items(_documents(spark, directory), reader(spark, directory)("eval_items"))
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
-    return sentences.sentence_units(reader(spark, directory)("documents"))
+    return sentences.sentence_units(_documents(spark, directory))
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_found, p9_found)}
