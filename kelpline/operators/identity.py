@@ -75,6 +75,11 @@ def content_identity(entries: DataFrame, keys: list[str], max_files: int = MAX_F
     )
 
 
+def limitations_of(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, limitations: the sorted distinct limitation codes of each component's rows."""
+    return entries.groupBy(*keys).agg(F.array_sort(F.collect_set("limitation")).alias("limitations"))
+
+
 def map_identity(df: DataFrame, keys: list[str], files: str) -> DataFrame:
     """keys, content_digest, file_count over a map of path to digest (null is empty), in path order."""
     entries = F.array_sort(F.map_entries(F.coalesce(F.col(files), F.create_map().cast("map<string,string>"))))

@@ -113,6 +113,14 @@ def inspect(directories: DataFrame, listing: DataFrame, target: str | None = Non
     return told.withColumn("limitations", F.array_sort(F.array_distinct(F.concat("found", mismatch)))).drop("found")
 
 
+def claimed_rows(directories: DataFrame, listing: DataFrame) -> DataFrame:
+    """(root, id) of the listing rows that a directory claims, as ``inspect`` does it."""
+    read = directories.where(~is_backup(F.col("name"))).select(
+        "root", "name", manifest(F.when(~F.coalesce("is_link", F.lit(False)), F.col("manifest")))["id"].alias("manifest_id")
+    )
+    return claim_listing_rows(read, listing.select("root", "id", "ord")).where("name IS NOT NULL AND id IS NOT NULL").select("root", "id")
+
+
 def unclaimed(claims: DataFrame) -> DataFrame:
     """Listing rows that no directory claimed (result of claim_listing_rows)."""
     return claims.where("name IS NULL").select("root", "id", "ord")

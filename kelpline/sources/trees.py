@@ -6,11 +6,11 @@ limitation).  Unlike ``binaryFile`` it has hidden names, does not follow links a
 Kinds: ``f`` file, ``d`` folder, ``l`` link (data: its target), ``g`` and ``h`` repository
 metadata and hooks, ``x`` what was not read whole.  Every component directory is its own partition,
 read depth first, by name within each folder; the file limit and the byte budget of a component
-hold in that order.  A filter ``component = 'x'`` reaches the reader, or can be given as option
+hold in that order.  A filter ``component = 'x'`` reaches the reader, or names can be given as option
 ``target``, so other components are not read.  A row without a path only bears a limitation.
 
 ``component_directories`` gives one row per name directly under the root: (name, is_link,
-is_directory, manifest, limitation), the input of ``operators.inventory.inspect``.
+is_directory, has_git, manifest, limitation), the input of ``operators.inventory.inspect``.
 
 Neither follows a link in place of a component directory: it has no file rows.
 """
@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 SCHEMA = "component string, path string, kind string, mode bigint, size bigint, data binary, limitation string"
-DIRECTORY_SCHEMA = "name string, is_link boolean, is_directory boolean, manifest string, limitation string"
+DIRECTORY_SCHEMA = "name string, is_link boolean, is_directory boolean, has_git boolean, manifest string, limitation string"
 MAX_FILES = 10_000
 FILE_BYTES, TOTAL_BYTES, SAMPLE_BYTES, METADATA_BYTES = 16 << 20, 64 << 20, 1 << 20, 1 << 20
 HEAD_FILES = ("config", "HEAD", "packed-refs")
@@ -51,19 +51,20 @@ class ComponentFiles(DataSource):
 class ComponentReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.root = options["root"]
-        self.target = options.get("target")
+        #: Only these components, as a name or several with "/" between them, which no name has.
+        self.target = options.get("target") and options["target"].split("/")
         given = {name: options.get(key) for name, key in (("files", "maxFiles"), ("file", "fileBytes"), ("total", "totalBytes"), ("sample", "sampleBytes"))}
         self.limits = {name: int(value) for name, value in given.items() if value is not None}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("component",):
-                self.target = f.value
+                self.target = [n for n in [f.value] if self.target is None or n in self.target]
             else:
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(n) for n in names_below(self.root) if self.target in (None, n)] or [InputPartition(None)]
+        return [InputPartition(n) for n in names_below(self.root) if self.target is None or n in self.target] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is not None:
@@ -108,7 +109,7 @@ class DirectoryReader(DataSourceReader):
                         manifest = data.decode("utf-8")
                 except (OSError, UnicodeDecodeError):
                     limitation = "manifest_unavailable"
-            yield name, link, not link and os.path.isdir(place), manifest, limitation
+            yield name, link, not link and os.path.isdir(place), not link and os.path.exists(os.path.join(place, ".git")), manifest, limitation
 
 
 def names_below(folder: str) -> list[str]:

@@ -122,6 +122,7 @@ def test_directories(spark, tmp_path):
     (root / "two.bak" / "manifest.json").write_bytes(b"\xff")
     (root / "big" / "manifest.json").write_text(" " * (trees.METADATA_BYTES + 1))
     (root / "file").write_text("")
+    (root / "one" / ".git").write_text("gitdir: x")
     outside = tmp_path / "outside"
     outside.mkdir()
     (outside / "manifest.json").write_text('{"id": "outside"}')
@@ -129,8 +130,8 @@ def test_directories(spark, tmp_path):
     trees.register(spark)
     got = {r.name: tuple(r)[1:] for r in spark.read.format("component_directories").option("root", str(root)).load().collect()}
     assert got == {
-        "one": (False, True, '{"id": "x"}', None), "two.bak": (False, True, None, "manifest_unavailable"), "empty": (False, True, None, "manifest_unavailable"),
-        "big": (False, True, None, "manifest_too_large"), "file": (False, False, None, "manifest_unavailable"), "link": (True, False, None, None),
+        "one": (False, True, True, '{"id": "x"}', None), "two.bak": (False, True, False, None, "manifest_unavailable"), "empty": (False, True, False, None, "manifest_unavailable"),
+        "big": (False, True, False, None, "manifest_too_large"), "file": (False, False, False, None, "manifest_unavailable"), "link": (True, False, False, None, None),
     }
     files = spark.read.format("component_files").option("root", str(root)).load()
     assert {r.component for r in files.collect()} == {"one", "two.bak", "big"}
@@ -194,6 +195,32 @@ def test_scan_to_digest(spark, tmp_path):
     assert cut.file_limit and set(cut.file_digests) == {"a", "a/b"}
 
 
+def test_inventory_of_a_folder(spark, tmp_path):
+    from kelpline.plans.scan import component_inventory
+
+    root = tmp_path / "root"
+    good = '{"schemaVersion": 1, "id": "%s"}'
+    for name, manifest in (("a", good % "a"), ("b", good % "other"), ("c", "["), ("d.bak", good % "a"), ("g", good % "g")):
+        (root / name).mkdir(parents=True)
+        (root / name / "manifest.json").write_text(manifest)
+    (root / "g" / ".git").mkdir()
+    (root / "g" / ".git" / "HEAD").write_text("ref")
+    os.mkfifo(root / "b" / "pipe")
+    os.symlink(root / "a", root / "z")
+    listing = json.dumps([{"id": "a", "active": True}, {"id": "other", "clonedFrom": "u"}, {"id": "gone"}, {"id": "own", "firstParty": True}, {"id": "same", "clonedFrom": ""}])
+    rows, limitations = component_inventory(spark, str(root), listing)
+    got = {r.name: r for r in rows.collect()}
+    assert [r.id for r in rows.collect()] == ["a", "c", "d.bak", "g", "other", "z"]
+    assert {n: r.classification for n, r in got.items()} == {"a": "cloned/local", "b": "cloned/local", "c": "unscannable", "d.bak": "backup", "g": "Git-managed", "z": "unscannable"}
+    assert got["b"].limitations == ["directory_id_mismatch", "special_file"] and got["b"].repository == "u" and got["a"].active
+    assert got["a"].file_count == 1 and got["g"].file_count == 2 and got["c"].content_digest is None and set(got["b"].file_digests) == {"manifest.json", "pipe"}
+    assert [tuple(r) for r in limitations.collect()] == [(str(root), "listed_without_directory:gone")]
+    rows, limitations = component_inventory(spark, str(root), None, "other")
+    assert [(r.name, r.content_digest) for r in rows.collect()] == [("b", got["b"].content_digest)]
+    assert [r.limitation for r in limitations.collect()] == ["listing_absent"]
+    assert component_inventory(spark, str(tmp_path / "none"), "[]", "x")[0].count() == 0
+
+
 def test_null_data_and_double_paths_count(spark):
     from kelpline.operators import identity
 
