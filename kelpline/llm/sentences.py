@@ -496,15 +496,14 @@ def count_examples(texts: Iterable[str]) -> tuple[Counter, Counter]:
 
 
 def fit_splitter(documents: DataFrame) -> Splitter:
-    """The classifiers, fitted on about SAMPLE rows of *documents* (the bound: twice as many),
-    drawn by a threshold on a hash; without any, boundaries rest on priors.  The row count is that
-    of the table, which Parquet answers from its footers; null texts give no examples."""
+    """The classifiers, fitted on about SAMPLE rows of *documents*, drawn by a threshold on a hash (a binomial
+    number of distinct rows: twice as many do not occur); without any, boundaries rest on priors.  The row count is that
+    of the table, which Parquet answers from its footers; null texts give no examples, repeated rows give theirs once."""
     docs = pick(documents, "doc_id", "text")
     share = SAMPLE / max(1, docs.count())
-    rank = F.xxhash64("doc_id", "text")
-    drawn = docs if share >= 1 else docs.where(rank < int((2 * share - 1) * 2**63))
-    # Repeated rows have one hash and may exceed the share: the least hashes keep the bound.
-    bounded = drawn.where("text IS NOT NULL").orderBy(rank).limit(2 * SAMPLE).select("text")
+    drawn = docs if share >= 1 else docs.where(F.xxhash64("doc_id", "text") < int((2 * share - 1) * 2**63))
+    # Repeated rows have one hash, so all or none of them are drawn.
+    bounded = drawn.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ def test_repeated_rows_keep_the_bound(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(s.Splitter, "of", staticmethod(lambda ends, starts: seen.append(sum(n for (_, y), n in starts.items() if y))))
     s.fit_splitter(spark.createDataFrame([(1, "One two. Three four.")] * 400, "doc_id bigint, text string"))
-    assert seen[0] in (0, 10)
+    assert seen[0] in (0, 1)
 
 
 def test_a_kept_model_cuts_alike_in_any_table(spark, tmp_path):
