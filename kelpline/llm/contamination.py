@@ -48,8 +48,8 @@ from kelpline.functions.frames import pick
 WORDS, CHARACTERS = 8, 14
 SHARE = (1, 4)
 #: An item's windows are this part of it, WORDS or CHARACTERS at least: runs that make up a
-#: quarter of an item may be two or three.
-PARTS = 6
+#: quarter of an item may be several.
+PARTS = 8
 RADIUS = 3
 #: Tokens of a shingle, and the weighted similarity that makes two windows a match.
 SHINGLE, SIMILARITY = 5, 0.8
