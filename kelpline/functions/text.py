@@ -39,6 +39,12 @@ def safe_text(text: Column) -> Column:
     return F.when(text.rlike(r"[\p{Cc}&&[^\n\t]]"), F.array_join(F.transform(F.split(text, ""), shown), "")).otherwise(text)
 
 
+def shown_line(*values: Column) -> Column:
+    """One line of text output: the values, control characters escaped (line feeds and tabs too), between tabs; null shows as nothing."""
+    cell = lambda v: F.regexp_replace(F.regexp_replace(safe_text(F.coalesce(v.cast("string"), F.lit(""))), "\n", r"\\n"), "\t", r"\\t")
+    return F.concat_ws("\t", *[cell(v) for v in values])
+
+
 def format_timestamp(seconds: Column) -> Column:
     """Epoch seconds as ``YYYY-MM-DDTHH:MM:SSZ`` in UTC, whatever the session zone."""
     days = F.floor(seconds / F.lit(86400))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators.structural import as_list, as_object, as_text, symbol
+from kelpline.sources.state import replace
 
 #: Largest catalog document that is read.
 MAX_CATALOG_BYTES = 32 << 20
@@ -80,6 +81,16 @@ def parsed_entries(catalogs: DataFrame, keys: list[str], listed: Column) -> Data
     return entries.select(*keys, F.col("pos").cast("long").alias("pos"), *columns, F.to_json(rest).alias("extra"))
 
 
+def keep_catalog(folder: str, data: bytes, meta: dict) -> None:
+    """Put a fetched catalog and what is known of it into *folder*, each file at once and private; CatalogError
+    if it is too large.  The digest is recorded last, so a copy cut short is not verified."""
+    if len(data) > MAX_CATALOG_BYTES:
+        raise CatalogError("the document is too large")
+    replace(os.path.join(folder, "catalog.json"), data)
+    whole = meta | {"file_digest": hashlib.sha256(data).hexdigest()}
+    replace(os.path.join(folder, "catalog.meta.json"), json.dumps(whole, indent=2, sort_keys=True).encode())
+
+
 def load_cached(spark: SparkSession, folder: str, official: str, original: Callable[[str], bytes | None]) -> dict | None:
     """The catalog kept in *folder* (``catalog.json`` beside ``catalog.meta.json``), or None if either is missing.
 

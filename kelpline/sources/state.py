@@ -50,13 +50,18 @@ def load_or_quarantine(path: str, empty: Callable[[], dict]) -> tuple[dict, str
 
 
 def save(path: str, value: dict) -> None:
-    """Replace the document at once: written beside, flushed, private, renamed."""
+    """Replace the document at once."""
+    replace(path, json.dumps(value, indent=2, sort_keys=True).encode())
+
+
+def replace(path: str, data: bytes) -> None:
+    """Replace a file at once: written beside, flushed, private, renamed."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, beside = tempfile.mkstemp(dir=folder)
     try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(value, f, indent=2, sort_keys=True)
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
             f.flush()
             os.fsync(f.fileno())
         os.chmod(beside, 0o600)

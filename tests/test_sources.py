@@ -250,6 +250,11 @@ def test_cached_catalog(spark, tmp_path):
         assert not load(data)["verified"]
     keep({"repository_commit": "a" * 40})
     assert load(data)["retrieved_at"] == "unknown"
+    catalog.keep_catalog(str(tmp_path / "new"), data, {"repository_commit": "b" * 40, "repository_url": "o"})
+    assert catalog.load_cached(spark, str(tmp_path / "new"), "o", lambda commit: data)["verified"]
+    assert sorted(os.listdir(tmp_path / "new")) == ["catalog.json", "catalog.meta.json"]
+    with pytest.raises(catalog.CatalogError):
+        catalog.keep_catalog(str(tmp_path / "new"), b" " * (catalog.MAX_CATALOG_BYTES + 1), {})
 
 
 def test_package_index(spark, tmp_path):

@@ -43,6 +43,7 @@ def test_safe_text(spark):
     inputs = ["a\tb\nc", "\x00\x1b[0m", "\x7f\x85é漢", "", None, "x" * 10_000 + "\x01"]
     want = [None if s is None else "".join(c if c in "\n\t" or unicodedata.category(c) != "Cc" else f"\\u{{{ord(c):x}}}" for c in s) for s in inputs]
     assert values(spark, text.safe_text, inputs) == want
+    assert values(spark, lambda c: text.shown_line(c, F.lit(1), c), ["a\tb\nc", "\x01", None]) == ["a\\tb\\nc\t1\ta\\tb\\nc", "\\u{1}\t1\t\\u{1}", "\t1\t"]
 
 
 def test_validation(spark):
