@@ -559,7 +559,7 @@ signals AS (
   SELECT 1::BIGINT AS ord, plugin_id, 'partial' AS kind, 'warning' AS severity, 'partial:' || machine_id || ':' || plugin_id AS key FROM current WHERE len(limitations) > 0
   UNION ALL SELECT 2, plugin_id, 'drift', 'critical', 'drift:' || plugin_id || ':' || sha256({MATERIAL.format('b')} || {MATERIAL.format('c')}) FROM current c JOIN base b USING (machine_id, plugin_id) WHERE {DIFFERS}
   UNION ALL SELECT 3, plugin_id, 'missing', 'warning', 'missing:' || machine_id || ':' || plugin_id FROM missing),
-state AS (SELECT DISTINCT key FROM signals JOIN (SELECT DISTINCT plugin_id FROM trust_histories, unnest(revoked_plugins) AS u(plugin_id)) USING (plugin_id)
+state AS (SELECT DISTINCT key FROM signals JOIN (SELECT DISTINCT plugin_id FROM trust_histories, unnest(revoked_plugins) AS u(plugin_id)) USING (plugin_id) WHERE kind = 'drift'
   UNION ALL SELECT DISTINCT 'drift:' || plugin_id || ':gone' FROM trust_histories, unnest(revoked_plugins) AS u(plugin_id) WHERE plugin_id IS NOT NULL)"""
 
 
@@ -582,9 +582,11 @@ def _signals(spark, directory) -> DataFrame:
 
 
 def _state(spark, directory) -> DataFrame:
-    """Keys known from before: those of revoked components, and for each an older drift that is over."""
+    """Keys known from before: the drifts of revoked components, and for each an older one that is over."""
     revoked = reader(spark, directory)("trust_histories").select(F.explode("revoked_plugins").alias("plugin_id")).where("plugin_id IS NOT NULL").distinct()
-    live = _signals(spark, directory).join(revoked, "plugin_id", "left_semi").select("key").distinct()
+    base = baseline.latest(_records(spark, directory), KEYS, ["seq"])
+    drifts = baseline.drifted(_current(spark, directory), base, KEYS)
+    live = drifts.join(revoked, "plugin_id", "left_semi").select(F.col("drift_key").alias("key")).distinct()
     over = revoked.select(F.concat(F.lit("drift:"), "plugin_id", F.lit(":gone")).alias("key"))
     return live.unionByName(over).withColumn("emitted_at", F.lit("earlier"))
 
