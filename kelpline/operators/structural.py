@@ -286,13 +286,15 @@ def routed_variants(reports: DataFrame) -> DataFrame:
     row = "array<struct<key:string,digest:string>>"
     own = F.array(F.struct(F.col("plugin_id").alias("key"), F.lit(None).cast("string").alias("digest"))).cast(row)
     of_map = F.transform(F.map_entries("files_map"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("digest")))
-    route = lambda name, test, rows: F.when(test, F.struct(F.lit(name).alias("subtype"), rows.cast(row).alias("rows")))
+    route = lambda name, rows: F.struct(name.alias("subtype"), rows.cast(row).alias("rows"))
+    files, limits = F.col("files_shape"), F.col("limits_shape")
+    items = F.when(files == "path_map", of_map).otherwise(_file_items(F.col("files_list")))
+    single = limits.isin("single_text", "single_code")
+    codes = _limit_items(F.when(single, F.array("limits")).otherwise(F.col("limits_list")))
     routes = F.array(
-        F.struct(F.lit("plugins").alias("subtype"), own.alias("rows")),
-        route("files_path_map", F.col("files_shape") == "path_map", of_map),
-        route("files_path_list", F.col("files_shape") == "path_list", _file_items(F.col("files_list"))),
-        route("limits_single", F.col("limits_shape").isin("single_text", "single_code"), _limit_items(F.array("limits"))),
-        route("limits_list", F.col("limits_shape") == "code_list", _limit_items(F.col("limits_list"))),
+        route(F.lit("plugins"), own),
+        F.when(files.isin("path_map", "path_list"), route(F.concat(F.lit("files_"), files), items)),
+        F.when(single | (limits == "code_list"), route(F.when(single, "limits_single").otherwise("limits_list"), codes)),
     )
     return p.select(*KEYS, "plugin_shape", F.inline(F.filter(routes, lambda r: r.isNotNull())))
 
